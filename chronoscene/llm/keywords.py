@@ -34,7 +34,7 @@ def normalized(value: Column) -> Column:
 
 def without_leads(key: Column) -> Column:
     """The key itself and what is left of it without its first one, two and three lead words."""
-    cut = lambda k: F.regexp_replace(k, rf"^(?:{'|'.join(LEADS)}) (?=[a-z0-9]{{2}})", "")
+    cut = lambda k: F.regexp_replace(k, rf"^(?:{'|'.join(LEADS)}) (?=.{{3}})", "")
     return F.array_distinct(F.array(key, cut(key), cut(cut(key)), cut(cut(cut(key)))))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoscene.llm import keywords
+from chronoscene.llm import keywords, topn
 from chronoscene.storage import table
 
 
@@ -23,5 +23,19 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(keywords.map_values(elements, vocabulary).where("term_id = -1"), ["kind", "value"]).drop("term_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched}
-ORACLES: dict[str, str] = {}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    largest = topn.top_n(topn.boxes(table(spark, d, "frame_annotations")), ["video_id", "gt_label"], ["neg_area", "fid", "gt_instance_id", "pos"], 8)
+    return largest.select("video_id", "gt_label", F.col("fid").cast("int").alias("fid"), "gt_instance_id")
+
+
+P5_SQL = """
+with p as (select video_id, fid, generate_subscripts(gt_bboxes, 1) as i, gt_labels, gt_instance_ids, gt_bboxes from frame_annotations),
+b as (select distinct video_id, gt_labels[i] as gt_label, fid, gt_instance_ids[i] as gt_instance_id, gt_bboxes[i] as b, i from p),
+a as (select *, (b.x2 - b.x1)::bigint * (b.y2 - b.y1) as area from b
+      where gt_label is not null and gt_instance_id is not null and b.x2 > b.x1 and b.y2 > b.y1),
+r as (select *, row_number() over (partition by video_id, gt_label order by area desc, fid, gt_instance_id, i) as n from a)
+select video_id, gt_label, fid, gt_instance_id from r where n <= 8
+"""
+
+QUERIES = {"p5_found": p5_found, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
+ORACLES: dict[str, str] = {"p5_found": P5_SQL}
