@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoscene.llm import keywords, topn
+from chronoscene.llm import keywords, pairs, topn
 from chronoscene.storage import table
 
 
@@ -37,5 +37,13 @@ r as (select *, row_number() over (partition by video_id, gt_label order by area
 select video_id, gt_label, fid, gt_instance_id from r where n <= 8
 """
 
-QUERIES = {"p5_found": p5_found, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    all_pairs, labelled = pairs.project_pairs(
+        table(spark, d, "caption_descriptions").select("caption_id", "caption", "sequential_descriptions", "lang"),
+        table(spark, d, "timestamp_descriptions").select("row_id", "decription", "programmatic"),
+    )
+    return pairs.defective_pairs(all_pairs, labelled)
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
 ORACLES: dict[str, str] = {"p5_found": P5_SQL}
