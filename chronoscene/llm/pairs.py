@@ -151,6 +151,10 @@ def language_scores(text: str, model: dict[str, list[float]], cache: dict[str, n
     return out
 
 
+#: Fixed value: the predicate that only binds a variable to its noun; it is syntax, not a word of the program's language.
+BINDING = r"\bname\s*\("
+
+
 def other_language(prompt: str | None, response: str, model: dict[str, list[float]], cache: dict[str, np.ndarray], margin: float) -> bool:
     """The response's language is clearly not the prompt's; without a prompt text, not English."""
     r = language_scores(response, model, cache)
@@ -180,12 +184,13 @@ def defect_of(prompt: list[str], answer: list[str] | None, program: bool, model:
         ending = sentence_ending(parts[-1])
         if ending == BROKEN:
             return "truncated", ""
-    if other_language(None if program else " ".join(prompt), whole, model, cache, margin):
+    spoken = re.sub(BINDING, "(", whole) if program else whole
+    if other_language(None if program else " ".join(prompt), spoken, model, cache, margin):
         return "language", ending
     return None, ending
 
 
-def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3, margin: float = 4.0) -> DataFrame:
+def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3, margin: float = 0.5) -> DataFrame:
     """``(pair_level, pair_id, defect)`` of the defective among ``pairs (pair_level, pair_id, prompt, answer)``.
 
     ``prompt`` and ``answer`` are arrays of texts; ``pair_level`` 'event' marks answers that are programs, whose right
@@ -233,5 +238,5 @@ def project_pairs(captions: DataFrame, events: DataFrame) -> tuple[DataFrame, Da
     )
     text = F.concat_ws(" ", "caption", "sequential_descriptions")
     lang = F.substring(F.lower(F.trim("lang")), 1, 2)
-    labelled = captions.select(lang.alias("lang"), text.alias("text")).union(events.select(F.lit("en"), F.concat_ws(" ", "decription", "programmatic")))
+    labelled = captions.select(lang.alias("lang"), text.alias("text")).union(events.select(F.lit("en"), F.regexp_replace(F.concat_ws(" ", "decription", "programmatic"), BINDING, "(")))
     return c.union(e), labelled

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoscene.llm import keywords, pairs, topn
-from chronoscene.storage import table
+from chronoscene.llm import keywords, mixing, packing, pairs, tokens, topn
+from chronoscene.storage import materialized, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,5 +45,27 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(all_pairs, labelled)
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of all documents, computed once and written to the shared folder."""
+    return materialized(tokens.sized(table(spark, d, "documents")))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sized(spark, d), table(spark, d, "pack_capacity"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, d), table(spark, d, "pack_capacity"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(docs, targets), docs, targets)
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
 ORACLES: dict[str, str] = {"p5_found": P5_SQL}
