@@ -2,7 +2,7 @@
 
 A shard keeps a level array: the number of open containers per fill level. Each item goes to the level (or into a new
 container) for which the sum of the squared counts of partially filled containers becomes smallest; of equal ones, the
-fullest. Items of a shard come largest first, which leaves the small ones to fill up what is open.
+fullest. Items come in a fixed random order, as they would online.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class LevelArray:
 def pack_shard(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces ``(id, piece, start, size, container)``; items beyond the capacity are cut into full pieces and a rest."""
     full, rest = sizes // capacity, sizes % capacity
-    order = np.lexsort((ids, -rest))
+    order = np.lexsort((ids, ids * np.int64(-7046029254386353131)))
     order = order[rest[order] > 0]
     levels = LevelArray(capacity)
     packed = np.fromiter((levels.place(int(s)) for s in rest[order]), np.int64, len(order))
