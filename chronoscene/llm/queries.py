@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoscene.llm import keywords, mixing, packing, pairs, tokens, topn
+from chronoscene.llm import keywords, mixing, packing, pairs, stuffing, tokens, topn
 from chronoscene.storage import materialized, table
 
 
@@ -67,5 +67,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, targets), docs, targets)
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(materialized(stuffing.segments(table(spark, d, "documents"))))
+
+
+QUERIES = {"p9_found": p9_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
 ORACLES: dict[str, str] = {"p5_found": P5_SQL}
