@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries of the scene-graph engine with their oracles."""
+
+from chronoscene.plans import stsl_queries
+
+QUERIES = {**stsl_queries.QUERIES}
+ORACLES = {**stsl_queries.ORACLES}
