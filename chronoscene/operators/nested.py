@@ -267,3 +267,8 @@ def flat_table(batches: DataFrame, level: str) -> DataFrame:
     """
     out = readable_batches(batches).select("batch_id", F.inline(LEVELS[level](F.col("captions"))))
     return out.drop("clauses", "args") if level in ("events", "clauses") else out
+
+
+def parse_clauses(value: object) -> list[dict]:
+    """``{predicate, args}`` of a program in any of the forms of ``flat_table``; null elements are skipped."""
+    return [c for v in value for c in _program(v)] if isinstance(value, list) else [] if value is None else _program(value)

@@ -1,6 +1,6 @@
 """All queries of the scene-graph engine with their oracles."""
 
-from chronoscene.plans import graph_queries, stsl_queries
+from chronoscene.plans import graph_queries, stsl_queries, text_queries
 
-QUERIES = {**stsl_queries.QUERIES, **graph_queries.QUERIES}
-ORACLES = {**stsl_queries.ORACLES, **graph_queries.ORACLES}
+QUERIES = {**stsl_queries.QUERIES, **graph_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**stsl_queries.ORACLES, **graph_queries.ORACLES, **text_queries.ORACLES}
