@@ -116,7 +116,10 @@ def similarity_join(values: DataFrame, forms: DataFrame, threshold: float = SIMI
         keep = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold)).cast("int") + 1
         return df.withColumn("size", F.size("tokens")).select("*", F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("at", "token"))
 
-    left = prefixes(ranked(values, "key", ["kind", "key"])).withColumnsRenamed({"at": "i", "size": "m", "tokens": "x"})
+    # A set of m tokens is like none of n tokens if n < threshold * m: values too long for every form never become tokens.
+    longest = forms.agg(F.coalesce(F.max(F.length("form")), F.lit(0)).alias("longest"))
+    fitting = values.crossJoin(F.broadcast(longest)).where((F.length("key") + 1) * threshold <= F.col("longest") + 1).drop("longest")
+    left = prefixes(ranked(fitting, "key", ["kind", "key"])).withColumnsRenamed({"at": "i", "size": "m", "tokens": "x"})
     right = prefixes(ranked(forms, "form", ["kind", "form", "term_id", "rank"])).withColumnsRenamed({"at": "j", "size": "n", "tokens": "y"})
     t = F.lit(threshold)
     need = F.ceil(t / (1 + t) * (F.col("m") + F.col("n")))

@@ -64,8 +64,13 @@ def is_empty(text: str) -> bool:
 
 
 def is_copy(prompt: list[str], response: list[str], extra: int = 3) -> bool:
-    """The prompt's tokens again, in order, with at most ``extra`` tokens (a label) in front."""
-    if not prompt or not len(prompt) <= len(response) <= len(prompt) + extra:
+    """The prompt's tokens again, in order, with at most ``extra`` tokens (a label) in front, wherever it is divided."""
+    if not prompt:
+        return False
+    flat, whole = "".join(prompt), "".join(response)
+    if whole.endswith(flat) and len(whole) - len(flat) <= 8 * extra:
+        return True
+    if not len(prompt) <= len(response) <= len(prompt) + extra:
         return False
     of = shingles(prompt)
     if len(of & shingles(response)) < 0.8 * len(of):
