@@ -12,7 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chronoscene.llm.tokens import plain_lang
@@ -39,6 +39,7 @@ TAG = re.compile(r"#\w{3,}|\[[^\]\n]{2,80}\](?!\()")
 LINK = re.compile(r"<a\s[^>]*>|</a>|\(?(?:https?://|www\.)[^\s)\"'>|]+\)?|\(?\b[\w-]+(?:\.[\w-]+)*\.(?:test|invalid|example|com|net|org|info|biz|shop|io|de|es|fr|co)/[^\s)\"'>|]*\)?")
 GLUED = re.compile(_STEMS)
 PRICE = re.compile(r"(?:[€$£]\s?\d|\d[.,]\d\d\s*(?:EUR|USD|€|\$|£)|^\s*\d+[.,]\d\d\s*$|\bRef\.|\bSKU\b|\bArt\.-Nr)", re.M)
+DIGIT = re.compile(r"\d")
 SEPARATOR = re.compile(r"[|•/;,·»>*]|\s-\s")
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
@@ -83,10 +84,10 @@ def measure(segment: str, sentence: bool, function: frozenset[str]) -> tuple:
         tags = len(found)
     words = WORDS.findall(bare.lower())
     known = set(words)
-    search = sum(w in SEARCH for w in words) if not SEARCH.isdisjoint(known) else 0
+    search = sum(map(SEARCH.__contains__, words)) if not SEARCH.isdisjoint(known) else 0
     if tags:
         search += sum(len(w) > 9 and GLUED.search(w) is not None for w in words)
-    used = sum(w in function for w in words)
+    used = sum(map(function.__contains__, words))
     top = pairs = 0
     if len(known) < len(words):
         counts = Counter(w for w in words if len(w) > 2 and w not in ALL_FUNCTION and w not in SEARCH)
@@ -94,7 +95,7 @@ def measure(segment: str, sentence: bool, function: frozenset[str]) -> tuple:
         if top > 1:
             twos = list(zip(words, words[1:], strict=False))
             pairs = len(twos) - len(set(twos))
-    prices = len(PRICE.findall(bare)) if any(c.isdigit() for c in bare) else 0
+    prices = len(PRICE.findall(bare)) if DIGIT.search(bare) else 0
     honest = sum(len(m) for m in HONEST.findall(bare)) if "(" in bare or ":" in bare or "id " in bare else 0
     return (chars, len(words), used, top, pairs, search, link, tags, prices, 0 if sentence else len(SEPARATOR.findall(bare)), honest, sentence)
 
@@ -102,17 +103,22 @@ def measure(segment: str, sentence: bool, function: frozenset[str]) -> tuple:
 def segments(documents: DataFrame) -> DataFrame:
     """``(doc_id, lang, segments)`` of documents with text; one measured segment per sentence or block, whole texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(":")[0] for f in SEGMENT[7:-1].split(",")]
+    names, kinds = zip(*[f.split(":") for f in SEGMENT[7:-1].split(",")], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, lang in zip(b["text"], b["lang"], strict=True):
+            rows, ends = [], [0]
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 function = FUNCTION.get(lang, ALL_FUNCTION)
-                rows.append([dict(zip(names, measure(s, is_sentence, function), strict=True)) for s, is_sentence in split_segments(text)])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "segments": pd.Series(rows, dtype=object)})
+                rows += [measure(s, is_sentence, function) for s, is_sentence in split_segments(text)]
+                ends.append(len(rows))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            arrays = [pa.array(c, pa.bool_() if k == "boolean" else pa.int32()) for c, k in zip(columns, kinds, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, list(names)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), lists], ["doc_id", "lang", "segments"])
 
     lean = documents.where("doc_id is not null and text is not null and length(trim(text)) > 0").select("doc_id", plain_lang(F.col("lang")).alias("lang"), "text")
-    return lean.mapInPandas(run, f"doc_id long, lang string, segments array<{SEGMENT}>")
+    return lean.mapInArrow(run, f"doc_id long, lang string, segments array<{SEGMENT}>")
 
 
 def calibrated(measured: DataFrame) -> DataFrame:
