@@ -95,3 +95,24 @@ def runs_xywh(runs: Column) -> Column:
 def relative_difference(a: Column, b: Column) -> Column:
     """Twice the difference over the sum, 0 for two zeros."""
     return F.when(a + b != 0, 2 * F.abs(a - b) / (a + b)).otherwise(0.0)
+
+
+def union_length(spans: Column) -> Column:
+    """Number of whole positions that inclusive spans array<struct<a, b>> cover together."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-(1 << 40)).alias("end"))
+    step = lambda acc, s: F.struct(
+        (acc["total"] + F.greatest(s["b"] - F.greatest(s["a"], acc["end"] + 1) + 1, F.lit(0))).cast("long").alias("total"), F.greatest(acc["end"], s["b"].cast("long")).alias("end")
+    )
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["total"])
+
+
+def palette_runs(pixels: Column, width: int, most: Column) -> Column:
+    """array<struct<id, y, x, len>> of a flat palette image: one run per row and instance id from 1 to ``most``, 0 is background.
+
+    Suited to the small images of tests and thumbnails; full frames come as run-length masks.
+    """
+    cells = F.filter(F.transform(pixels, lambda v, i: F.struct(v.alias("id"), F.floor(i / width).cast("int").alias("y"), (i % width).alias("x"))), lambda c: (c["id"] > 0) & (c["id"] <= most))
+    opens = F.filter(cells, lambda c: ~F.array_contains(cells, F.struct(c["id"].alias("id"), c["y"].alias("y"), (c["x"] - 1).alias("x"))))
+    closes = F.filter(cells, lambda c: ~F.array_contains(cells, F.struct(c["id"].alias("id"), c["y"].alias("y"), (c["x"] + 1).alias("x"))))
+    runs = F.arrays_zip(F.array_sort(opens).alias("o"), F.array_sort(closes).alias("c"))
+    return F.transform(runs, lambda r: F.struct(r["o"]["id"].alias("id"), r["o"]["y"].alias("y"), r["o"]["x"].alias("x"), (r["c"]["x"] - r["o"]["x"] + 1).alias("len")))

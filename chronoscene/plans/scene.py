@@ -1,6 +1,7 @@
 """All queries of the scene-graph engine with their oracles."""
 
-from chronoscene.plans import graph_queries, stsl_queries, text_queries
+from chronoscene.plans import frame_queries, graph_queries, stsl_queries, text_queries
 
-QUERIES = {**stsl_queries.QUERIES, **graph_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**stsl_queries.ORACLES, **graph_queries.ORACLES, **text_queries.ORACLES}
+MODULES = (stsl_queries, graph_queries, text_queries, frame_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -60,3 +60,12 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.tab_separated(spark, str(tmp_path / "t.tsv"), "key string, vid string").first().vid == "b"
     (tmp_path / "spec.jsonl").write_text('{"video_id": "v", "prog": "x"}\n{"video_id": "v", "prog": "y"}\n')
     assert [r.prog for r in readers.spec_records(spark, str(tmp_path / "spec.jsonl")).collect()] == ["y"]
+
+
+def test_masks(spark):
+    spans = lambda s: F.from_json(F.lit(s), "array<struct<a:bigint,b:bigint>>")
+    assert one(spark, geo.union_length(spans('[{"a":5,"b":9},{"a":0,"b":2},{"a":2,"b":3},{"a":6,"b":7}]')), s=1) == 9
+    assert one(spark, geo.union_length(spans("[]")), s=1) == 0
+    image = [0, 1, 1, 2, 1, 1, 3, 2, 9, 0, 0, 2]
+    runs = one(spark, geo.palette_runs(F.col("p"), 4, F.lit(3)), p=image)
+    assert [tuple(r) for r in runs] == [(1, 0, 1, 2), (1, 1, 0, 2), (2, 0, 3, 1), (2, 1, 3, 1), (2, 2, 3, 1), (3, 1, 2, 1)]
