@@ -49,7 +49,8 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     both = np.prod(np.maximum(high - low + 1, 0), axis=2)
     size = lambda x: np.prod(x[:, 2:] - x[:, :2] + 1, axis=1)
-    return both / (size(a)[:, None] + size(b)[None, :] - both)
+    union = size(a)[:, None] + size(b)[None, :] - both
+    return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
 class Tracker:
