@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chronoscene.functions import geometry as geo
 from chronoscene.operators import graph, metrics, scoring
+from chronoscene.operators.rangescan import prefix_sum
 from chronoscene.plans.stsl_queries import FACTS
 from chronoscene.sources import adapters
 from chronoscene.storage import table
@@ -112,17 +113,20 @@ def sg_gap_fill(spark: SparkSession, d: str) -> DataFrame:
 @query(facts(FRAMES + ", c as (select video_id, count(*) as frames from fr group by 1) select video_id, frames, coalesce(sum(frames) over (order by video_id rows between unbounded preceding and 1 preceding), 0)::bigint as first_frame from c"))
 def sg_frame_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Offsets of the videos in the concatenation of all frames; the one global order is cut into ranges, not sent to one task."""
-    from chronoscene.operators.rangescan import prefix_sum
+    return _splits(spark, d).select("video_id", "frames", "first_frame")
 
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
     counts = U(spark, d).groupBy("video_id").agg(F.count_distinct("fid").alias("frames")).withColumn("all", F.lit(""))
-    return prefix_sum(counts, "all", ["video_id"], "frames", "first_frame").select("video_id", "frames", "first_frame")
+    return prefix_sum(counts, "all", ["video_id"], "frames", "first_frame")
 
 
 @query(facts(FRAMES + ", c as (select video_id, count(*) as frames from fr group by 1), o as (select video_id, sum(frames) over (order by video_id) as last from c) select video_id, (last - coalesce(lag(last) over (order by video_id), 0))::bigint as frames from o"))
 def sg_frame_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths back from the offsets, by the row before in range order."""
-    o = sg_frame_offsets(spark, d)
-    return o.select("video_id", ((F.col("first_frame") + F.col("frames")) - F.col("first_frame")).alias("frames"))
+    """Lengths of the videos from the split offsets alone: each split less the one ranked before it."""
+    splits = _splits(spark, d).select("video_id", "rank", (F.col("first_frame") + F.col("frames")).alias("last"))
+    before = splits.select((F.col("rank") + 1).alias("rank"), F.col("last").alias("prior"))
+    return splits.join(before, "rank", "left").select("video_id", (F.col("last") - F.coalesce("prior", F.lit(0))).alias("frames"))
 
 
 @query(facts(", c as (select video_id, fid, count(distinct oid) as n from u group by 1, 2) select video_id, fid, n from (select *, row_number() over (partition by video_id order by n desc, fid) as k from c) where k = 1"))
