@@ -58,48 +58,56 @@ class Tracker:
 
     def __init__(self, threshold: float = 0.5) -> None:
         self.threshold = threshold
-        self.boxes = np.zeros((0, 4))
+        self.store, self.n = np.zeros((64, 4)), 0
+
+    @property
+    def boxes(self) -> np.ndarray:
+        return self.store[: self.n]
 
     def add(self, boxes: np.ndarray) -> list[int]:
         """Track of each box of the next frame; boxes matched to none open new tracks."""
         out = [-1] * len(boxes)
-        if len(self.boxes) and len(boxes):
-            iou = overlaps(self.boxes, boxes)
+        if self.n and len(boxes):
+            # Tracks that touch none of the boxes can't exceed the threshold, so only the others are compared.
+            near = np.flatnonzero((self.boxes[:, :2] <= boxes[:, 2:].max(axis=0) + 1).all(axis=1) & (self.boxes[:, 2:] >= boxes[:, :2].min(axis=0) - 1).all(axis=1))
+            iou = overlaps(self.boxes[near], boxes)
             cost = np.where(iou > self.threshold, -iou, 0.0)
-            live = np.flatnonzero(cost.min(axis=1) < 0)
-            for i, j in assign(cost[live]):
-                if cost[live[i], j] < 0:
+            some = cost.min(axis=1) < 0
+            live, cost = near[some], cost[some]
+            for i, j in assign(cost):
+                if cost[i, j] < 0:
                     out[j] = int(live[i])
         for j, b in enumerate(boxes):
             if out[j] < 0:
-                out[j] = len(self.boxes)
-                self.boxes = np.vstack([self.boxes, b[None]])
-            else:
-                self.boxes[out[j]] = b
+                out[j] = self.n
+                if self.n == len(self.store):
+                    self.store = np.vstack([self.store, np.zeros_like(self.store)])
+                self.n += 1
+            self.store[out[j]] = b
         return out
 
 
-def track_boxes(frames: DataFrame, threshold: float = 0.5, frame_span: int = 512) -> DataFrame:
-    """``(video_id, fid, pos, span, track)`` of frames ``(video_id, fid, gt_bboxes)``.
+def track_boxes(frames: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``(video_id, fid, pos, track)`` of frames ``(video_id, fid, gt_bboxes)``; track numbers hold for the whole video.
 
-    Frames sent again count once; null boxes are skipped; rows without video or frame are left out. A video is tracked in
-    spans of ``frame_span`` frames, each by itself, so that a video of any length is spread over tasks; track numbers are
-    unique within video and span. Rows of a task stream through in order, only the open span's tracks are held.
+    Frames sent again count once; null boxes are skipped; rows without video or frame are left out. The track of a box
+    depends on all frames before it, so a video is one sequence in one task; videos are spread over tasks. Rows stream
+    through in order, and only the last boxes of the open video's tracks are held.
     """
-    lean = frames.where("video_id is not null and fid is not null and gt_bboxes is not null").withColumn("span", F.floor(F.col("fid") / frame_span))
-    lean = lean.groupBy("video_id", "span", "fid").agg(F.min("gt_bboxes").alias("b"))
-    ordered = lean.repartition(partitions_for(frames.sparkSession), "video_id", "span").sortWithinPartitions("video_id", "span", "fid")
+    lean = frames.where("video_id is not null and fid is not null and gt_bboxes is not null")
+    lean = lean.groupBy("video_id", "fid").agg(F.min("gt_bboxes").alias("b"))
+    ordered = lean.repartition(partitions_for(frames.sparkSession), "video_id").sortWithinPartitions("video_id", "fid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tracker = None, Tracker(threshold)
         for batch in batches:
             rows = []
-            for vid, span, fid, boxes in zip(batch["video_id"], batch["span"], batch["fid"], batch["b"], strict=True):
-                if (vid, span) != key:
-                    key, tracker = (vid, span), Tracker(threshold)
+            for vid, fid, boxes in zip(batch["video_id"], batch["fid"], batch["b"], strict=True):
+                if vid != key:
+                    key, tracker = vid, Tracker(threshold)
                 at = [i for i, x in enumerate(boxes) if x is not None and None not in (x["x1"], x["y1"], x["x2"], x["y2"])]
                 known = np.array([[boxes[i][c] for c in ("x1", "y1", "x2", "y2")] for i in at], float).reshape(-1, 4)
-                rows += [(vid, fid, i, span, t) for i, t in zip(at, tracker.add(known), strict=True)]
-            yield pd.DataFrame(rows, columns=["video_id", "fid", "pos", "span", "track"])
+                rows += [(vid, fid, i, t) for i, t in zip(at, tracker.add(known), strict=True)]
+            yield pd.DataFrame(rows, columns=["video_id", "fid", "pos", "track"])
 
-    return ordered.mapInPandas(run, "video_id string, fid int, pos int, span long, track int")
+    return ordered.mapInPandas(run, "video_id string, fid int, pos int, track int")

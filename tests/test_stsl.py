@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from chronoscene.operators.proofs import chain_proofs
-from chronoscene.operators.tracking import Tracker, assign
+from chronoscene.operators.tracking import Tracker, assign, track_boxes
 from chronoscene.plans import stsl
 from chronoscene.plans.program import compile_event, specification
 from chronoscene.plans.stsl import And, Binary, Const, Finally, Global, Logic, NegUnary, Neq, Next, Unary, Until, Var
@@ -126,3 +126,14 @@ def test_tracker():
     assert t.add(np.array([[0, 0, 9, 9], [50, 50, 59, 59]], float)) == [0, 1]
     assert t.add(np.array([[51, 50, 60, 59], [1, 0, 10, 9], [200, 200, 220, 220]], float)) == [1, 0, 2]
     assert t.add(np.zeros((0, 4))) == []
+
+
+def test_tracks_hold_for_the_whole_video(spark):
+    box = "array<struct<x1:int,y1:int,x2:int,y2:int>>"
+    rows = [(v, f, [(f // 256, 0, f // 256 + 9, 9), (50, 50, 59, 59)]) for v in ("v", "w") for f in (0, 100, 511, 512, 1023, 1024, 9999)]
+    rows[6] = ("v", 9999, [(50, 50, 59, 59), (200, 200, 209, 209)])
+    rows.append(("v", 512, [(2, 0, 11, 9), (50, 50, 59, 59)]))
+    got = {(r.video_id, r.fid, r.pos): r.track for r in track_boxes(spark.createDataFrame(rows, f"video_id string, fid int, gt_bboxes {box}")).collect()}
+    assert len(got) == 28
+    assert all(got[v, f, i] == i for v in ("v", "w") for f in (0, 100, 511, 512, 1023, 1024) for i in (0, 1))
+    assert got["v", 9999, 0] == 1 and got["v", 9999, 1] == 2 and got["w", 9999, 0] == 2 and got["w", 9999, 1] == 1
