@@ -1,9 +1,9 @@
 """Keyword-stuffed pages, link lists, product and tag lists among honest texts and honest lists.
 
 A text is cut into sentences and into blocks of lines that are none. Each segment is measured: share of its most repeated
-content word, share of repeated word pairs, share of search words, link text, prices and tags, separators, and function
-words. The limits for missing function words and for repetition are calibrated per language on the segments of the whole
-corpus. A page is found if more than half of its characters lie in segments beyond the limits.
+content word, share of repeated word pairs, share of search words, link text, prices and tags, separators, lines the page
+had before, and function words. The limits for missing function words, separators and the three kinds of repetition are
+calibrated per language on the whole corpus. A page is found if more than half of its characters lie in segments beyond them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoscene.llm.tokens import plain_lang
 
@@ -40,39 +40,47 @@ LINK = re.compile(r"<a\s[^>]*>|</a>|\(?(?:https?://|www\.)[^\s)\"'>|]+\)?|\(?\b[
 GLUED = re.compile(_STEMS)
 PRICE = re.compile(r"(?:[€$£]\s?\d|\d[.,]\d\d\s*(?:EUR|USD|€|\$|£)|^\s*\d+[.,]\d\d\s*$|\bRef\.|\bSKU\b|\bArt\.-Nr)", re.M)
 DIGIT = re.compile(r"\d")
-SEPARATOR = re.compile(r"[|•/;,·»>*]|\s-\s")
+SEPARATORS = (*"|•/;,·»>*", " - ")
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 #: Forms of the project's own lists: calls of programs, counted or numbered objects, times.
 HONEST = re.compile(r"\b[\w ]{2,30}\s?\([A-Z](?:,\s?[\w ]+)?\)|\w\s\(\d{1,3}\)(?=[,.;\s]|$)|\bid\s\d+|\b\d?\d:\d\d(?:[.:,]\d+)?|^\W*\w+ \(\d+\):", re.M)
+#: Heads of inventories (``objects (14): ...``) and lines of credits (``Camera: baker 5``): whole lists without function words.
+LISTED = re.compile(r"^\W*\w+ \(\d+\):|^\W*[\w ]{2,20}: [\w' -]+ \d+\W*$", re.M)
 
-SEGMENT = "struct<chars:int,words:int,function:int,top:int,pairs:int,search:int,link:int,tags:int,prices:int,separators:int,honest:int,sentence:boolean>"
+SEGMENT = "struct<chars:int,words:int,function:int,top:int,pairs:int,search:int,link:int,tags:int,prices:int,separators:int,honest:int,form:boolean,again:int,sentence:boolean>"
 
 
-def split_segments(text: str) -> list[tuple[str, bool]]:
-    """(segment, is it a sentence): sentences of prose lines; other lines gathered into blocks."""
-    out: list[tuple[str, bool]] = []
+def split_segments(text: str) -> list[tuple[str, bool, int]]:
+    """(segment, is it a sentence, characters in lines that the text had before): sentences of prose lines; other lines gathered into blocks."""
+    out: list[tuple[str, bool, int]] = []
     block: list[str] = []
+    seen: set[str] = set()
+    block_again = 0
     for line in text.split("\n"):
         if not line or line.isspace():
             continue
+        known = len(seen)
+        seen.add(line.strip())
+        again = len(seen) == known
         for part in SENTENCE_END.split(line) if ". " in line or "! " in line or "? " in line else (line,):
             if not part:
                 continue
             bare = part.rstrip(" \"')]*")
             if bare.endswith((".", "!", "?", "…")) and bare.count(" ") >= 2:
                 if block:
-                    out.append(("\n".join(block), False))
-                    block = []
-                out.append((part, True))
+                    out.append(("\n".join(block), False, block_again))
+                    block, block_again = [], 0
+                out.append((part, True, again * len(part)))
             else:
                 block.append(part)
+                block_again += again * len(part)
     if block:
-        out.append(("\n".join(block), False))
+        out.append(("\n".join(block), False, block_again))
     return out
 
 
-def measure(segment: str, sentence: bool, function: frozenset[str]) -> tuple:
+def measure(segment: str, sentence: bool, again: int, function: frozenset[str]) -> tuple:
     """The values of SEGMENT."""
     link = tags = 0
     chars, bare = len(segment), segment
@@ -97,7 +105,8 @@ def measure(segment: str, sentence: bool, function: frozenset[str]) -> tuple:
             pairs = len(twos) - len(set(twos))
     prices = len(PRICE.findall(bare)) if DIGIT.search(bare) else 0
     honest = sum(len(m) for m in HONEST.findall(bare)) if "(" in bare or ":" in bare or "id " in bare else 0
-    return (chars, len(words), used, top, pairs, search, link, tags, prices, 0 if sentence else len(SEPARATOR.findall(bare)), honest, sentence)
+    form = not sentence and ":" in bare and LISTED.search(bare) is not None
+    return (chars, len(words), used, top, pairs, search, link, tags, prices, sum(map(bare.count, SEPARATORS)), honest, form, again, sentence)
 
 
 def segments(documents: DataFrame) -> DataFrame:
@@ -110,7 +119,7 @@ def segments(documents: DataFrame) -> DataFrame:
             rows, ends = [], [0]
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 function = FUNCTION.get(lang, ALL_FUNCTION)
-                rows += [measure(s, is_sentence, function) for s, is_sentence in split_segments(text)]
+                rows += [measure(*s, function) for s in split_segments(text)]
                 ends.append(len(rows))
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             arrays = [pa.array(c, pa.bool_() if k == "boolean" else pa.int32()) for c, k in zip(columns, kinds, strict=True)]
@@ -122,23 +131,46 @@ def segments(documents: DataFrame) -> DataFrame:
 
 
 def calibrated(measured: DataFrame) -> DataFrame:
-    """``(lang, few_function, much_top)``: limits per language from the sentences of the whole corpus.
+    """One row of limits per language, from the sentences and pages of the whole corpus.
 
-    ``few_function``: half of the function-word share that nine of ten sentences reach; ``much_top``: the share of the most
-    repeated content word that one sentence in fifty exceeds, between 0.15 and 0.25. One row per language.
+    ``low_function``: the function-word share that nine of ten sentences reach; ``few_function``: half of it; ``much_top``: the
+    share of the most repeated content word that one sentence in fifty exceeds, between 0.15 and 0.25; ``much_pairs`` and
+    ``much_marks``: repeated word pairs and separators per word that one sentence in two hundred and in fifty exceeds;
+    ``much_again``: the share of repeated lines that one page in a hundred exceeds, at most a half.
     """
     rows = measured.select("lang", F.inline("segments")).where("sentence and words >= 6")
     share = lambda c: F.col(c) / F.col("words")
-    limits = rows.groupBy("lang").agg(F.percentile_approx(share("function"), 0.1, 1000).alias("f"), F.percentile_approx(share("top"), 0.98, 1000).alias("t"))
-    return limits.select("lang", (F.col("f") / 2).alias("few_function"), F.least(F.greatest("t", F.lit(0.15)), F.lit(0.25)).alias("much_top"))
+    quantile = lambda c, q: F.percentile_approx(share(c), q, 1000)
+    limits = rows.groupBy("lang").agg(quantile("function", 0.1).alias("f"), quantile("top", 0.98).alias("t"), quantile("pairs", 0.995).alias("much_pairs"), quantile("separators", 0.98).alias("much_marks"))
+    limits = limits.select("lang", F.col("f").alias("low_function"), (F.col("f") / 2).alias("few_function"), F.least(F.greatest("t", F.lit(0.15)), F.lit(0.25)).alias("much_top"), "much_pairs", "much_marks")
+    pages = measured.select("lang", repeated_share(F.col("segments")).alias("a")).groupBy("lang").agg(F.least(F.percentile_approx("a", 0.99, 1000), F.lit(0.5)).alias("much_again"))
+    return pages.join(limits, "lang", "left")
+
+
+def _total(segments: Column, field: str) -> Column:
+    return F.aggregate(segments, F.lit(0), lambda a, s: a + s[field])
+
+
+def repeated_share(segments: Column) -> Column:
+    """Share of a page's characters in lines that the page had before."""
+    return _total(segments, "again") / F.greatest(_total(segments, "chars"), F.lit(1))
 
 
 def spam_shares(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``(doc_id, lang, share, n_chars)``: the share of a page's characters in spam segments."""
+    limit = lambda name, unknown: F.coalesce(name, F.lit(unknown))
+    few, low, top = limit("few_function", 0.15), limit("low_function", 0.3), limit("much_top", 0.2)
+    much_pairs, much_marks, much_again = limit("much_pairs", 0.25), limit("much_marks", 0.25), limit("much_again", 0.1)
 
-    def spam(s, few, top):  # noqa: ANN001, ANN202
+    def spam(s):  # noqa: ANN001, ANN202
         share = lambda c: s[c] / F.greatest(s["words"], F.lit(1))
         own_list = (s["honest"] >= 0.1 * s["chars"]) & (share("search") < 0.15) & (s["tags"] == 0) & (s["prices"] == 0)
+        own_form = s["form"] & (share("search") < 0.1)
+        again = (s["again"] >= 0.5 * s["chars"]) & (F.col("page_again") > much_again)
+        wordy = s["words"] >= 8
+        bare = wordy & (share("function") < few) & ~own_form
+        paired = wordy & (s["pairs"] >= 3) & (share("pairs") > much_pairs) & ~own_form
+        marked = wordy & (share("separators") > much_marks) & (share("function") < low) & ~own_form
         stuffed = (
             ((s["top"] >= 3) & (share("top") >= top))
             | ((s["search"] >= 2) & (share("search") >= 0.1))
@@ -149,14 +181,13 @@ def spam_shares(measured: DataFrame, limits: DataFrame) -> DataFrame:
             | (s["link"] >= 0.3 * s["chars"])
             | (s["tags"] * 3 >= s["words"])
             | ((s["prices"] >= 2) & (s["prices"] * 25 >= s["words"]))
-            | ((share("top") >= top) & (s["top"] >= 4) & (share("function") <= F.greatest(few, F.lit(0.3))))
+            | ((share("top") >= top) & (s["top"] >= 4) & (share("function") <= low))
         )
-        return ~own_list & F.when(s["sentence"], (s["words"] >= 4) & stuffed).otherwise(listed)
+        return ~own_list & (again | bare | paired | marked | F.when(s["sentence"], (s["words"] >= 4) & stuffed).otherwise(listed))
 
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, s: a + s["chars"])
-    bad = F.filter("segments", lambda s: spam(s, F.coalesce("few_function", F.lit(0.15)), F.coalesce("much_top", F.lit(0.2))))
-    rows = measured.join(F.broadcast(limits), "lang", "left")
-    return rows.select("doc_id", "lang", (total(bad) / F.greatest(total(F.col("segments")), F.lit(1))).alias("share"), total(F.col("segments")).alias("n_chars"))
+    rows = measured.join(F.broadcast(limits), "lang", "left").withColumn("page_again", repeated_share(F.col("segments")))
+    n_chars = _total(F.col("segments"), "chars")
+    return rows.select("doc_id", "lang", (_total(F.filter("segments", spam), "chars") / F.greatest(n_chars, F.lit(1))).alias("share"), n_chars.alias("n_chars"))
 
 
 def stuffed_pages(measured: DataFrame, least_share: float = 0.5) -> DataFrame:

@@ -277,6 +277,20 @@ def test_stuffing(spark):
     assert stuffing.stuffed_pages(stuffing.segments(df.limit(0))).count() == 0
 
 
+def test_stuffing_by_repeated_lines_separators_missing_function_words_and_pairs(spark):
+    honest = [(i, t, "en") for i, t in enumerate(HONEST)]
+    other = [(10, "Camera: farmer 1\nSound: drummer 5\nEdit: shepherd 7\nLocation: sailor 9\nProps: goat 5", "en"), (11, "objects (12): nurse, tent, potter, wheel, jar, basket, climber, waiter, blanket, mirror, referee, mechanic", "en")]
+    spam = [
+        "\n".join(["Find a lens for the tripod in the studio."] * 6),
+        "lens filter | tripod | camera bag | green screen | memory card | ring light | gimbal | the drone | the clips",
+        "lens filter tripod camera bag green screen memory card ring light gimbal drone",
+        "the lens in a bag and the lens in a bag and the lens in a bag and the clip of the lens in a bag",
+    ]
+    rows = honest + other + [(100 + i, t, "en") for i, t in enumerate(spam)]
+    found = stuffing.stuffed_pages(stuffing.segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()
+    assert sorted(r.doc_id for r in found) == [100, 101, 102, 103]
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 
 
