@@ -76,14 +76,25 @@ def first_uncovered_frame(spark: SparkSession, d: str) -> DataFrame:
     return g.join(base, "seg").where(F.col("u") > F.col("base") + 0.01).groupBy("seg").agg(F.min("fid").alias("fid"))
 
 
+def merged(known: DataFrame, new: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Boxes of ``known`` and those of ``new`` that overlap none of them by more than ``threshold``; above it a box is already present."""
+    k = known.select(F.col("video_id").alias("v"), F.col("b").alias("q"))
+    fresh = new.join(k, (F.col("video_id") == F.col("v")) & (geo.iou(F.col("b"), F.col("q")) > threshold), "left_anti")
+    return known.select("video_id", "id").union(fresh.select("video_id", "id")).distinct()
+
+
 @query(BOXES + f", k as (select * from r where id <= 2), n as (select * from r where id > 2) select distinct video_id, id from k union select distinct a.video_id, a.id from n a where not exists (select 1 from k b where a.video_id = b.video_id and {_W} * 1.0 / ({_A('a')} + {_A('b')} - {_W}) > 0.3)")
 def merge_annotated_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Annotated boxes and those detections that overlap none of them by more than 0.3."""
+    """Annotated boxes and those detections that overlap none of them by more than the 0.3 of its oracle; see ``merge_present_boxes``."""
     r = boxes(spark, d)
-    known, new = r.where("id <= 2"), r.where("id > 2")
-    k = known.select(F.col("video_id").alias("v"), F.col("b").alias("q"))
-    fresh = new.join(k, (F.col("video_id") == F.col("v")) & (geo.iou(F.col("b"), F.col("q")) > 0.3), "left_anti")
-    return known.select("video_id", "id").union(fresh.select("video_id", "id")).distinct()
+    return merged(r.where("id <= 2"), r.where("id > 2"), 0.3)
+
+
+@query(BOXES + f", k as (select * from r where id <= 2), n as (select * from r where id > 2) select distinct video_id, id from k union select distinct a.video_id, a.id from n a where not exists (select 1 from k b where a.video_id = b.video_id and {_W} * 1.0 / ({_A('a')} + {_A('b')} - {_W}) > 0.7)")
+def merge_present_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated boxes and all detections but those already present, which overlap an annotated box by more than 0.7."""
+    r = boxes(spark, d)
+    return merged(r.where("id <= 2"), r.where("id > 2"))
 
 
 @query("select video_id, i // 2 as batch, string_agg(caption_id::varchar, ',' order by i) as ids from (select video_id, caption_id, row_number() over (partition by video_id order by caption_id) - 1 as i from caption_descriptions where video_id is not null) group by 1, 2 having count(*) = 2")
