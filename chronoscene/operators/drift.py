@@ -157,12 +157,12 @@ def schema_changes(lines: DataFrame, num_partitions: int | None = None, least_li
 
 
 def canonical_names(changes: DataFrame) -> dict[str, str]:
-    """Field name -> the name its column has in the union table: the first by name of those joined by at least two renames.
+    """Field name -> the name its column has in the union table: the first by name of those joined by reported renames.
 
-    The links are counted in Spark; the driver holds one entry per pair of field names (at most ``MAX_NAMES``).
+    Every rename counts, and for all feeds, as a feed may use the new name from its first file on. The driver holds one entry per pair of field names (at most ``MAX_NAMES``).
     """
     links = changes.where("change_kind = 'renamed'").select(F.least("old_name", "new_name").alias("a"), F.greatest("old_name", "new_name").alias("b"))
-    rows = links.groupBy("a", "b").count().where("count >= 2").limit(MAX_NAMES + 1).collect()
+    rows = links.distinct().limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} pairs of field names")
     root: dict[str, str] = {}
@@ -179,11 +179,12 @@ def canonical_names(changes: DataFrame) -> dict[str, str]:
 
 
 def consistent_table(lines: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """All readable records as one table: ``keys`` and a column per canonical field, cast to its promoted type.
+    """All readable records as one table: ``keys``, a column per canonical field, cast to its promoted type, and ``unfitting``.
 
-    Fields that a record lacks are null, values that don't fit become null only where the lattice gives a scalar of
-    another type for stray values (types held by under 1 % of a field's values don't widen it). If a record has a field
-    under two names, the first non-null by name counts. Broken lines give no row; repeated lines stay.
+    Fields that a record lacks are null. Types held by under 1 % of a field's values don't widen it; such stray values become
+    null or an approximation where the column is no text. ``unfitting`` (map of name in the record to JSON text, null where
+    there is none) keeps the values that their column doesn't show: stray ones and, if a record has a field under two
+    names, all but the first by name that fits. Broken lines give no row; repeated lines stay.
     """
     names = canonical_names(changes)
     parsed = lines.select(*keys, F.try_parse_json("record").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
@@ -196,17 +197,32 @@ def consistent_table(lines: DataFrame, changes: DataFrame, keys: list[str]) -> D
         to = names.get(r["name"], r["name"])
         members.setdefault(to, set()).add(r["name"])
         count.setdefault(to, {})[r["type"]] = count.get(to, {}).get(r["type"], 0) + r["count"]
-    columns = []
+    columns, left = [], []
     for to in sorted(count):
         total, kind = sum(count[to].values()), None
         for t, n in sorted(count[to].items()):
             if n >= 0.01 * total:
                 kind = t if kind is None else promoted(kind, t)
         path = lambda name: F.col("m")[name]
-        as_array = lambda v, e: F.coalesce(v.try_cast(f"array<{e}>"), F.when(v.isNotNull(), F.array(F.to_json(v).cast(e))))
+        as_array = lambda v, e: F.coalesce(v.try_cast(f"array<{e}>"), F.when(v.isNotNull(), F.array(F.to_json(v).try_cast(e))))
         value = lambda v: {
             "number": v.try_cast("double"), "boolean": v.try_cast("boolean"), "array<number>": as_array(v, "double"), "array<string>": as_array(v, "string"),
         }.get(kind, F.coalesce(v.try_cast("string"), F.to_json(v)) if kind == "string" else F.to_json(v))
         real = lambda n: F.when(F.schema_of_variant(path(n)) != "VOID", value(path(n)))
-        columns.append(F.coalesce(*[real(n) for n in sorted(members[to])]).alias(to))
-    return parsed.select(*keys, F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m")).select(*keys, *columns)
+        shown = [real(n) for n in sorted(members[to])]
+        columns.append(F.coalesce(*shown).alias(to))
+        for i, n in enumerate(sorted(members[to])):
+            was = simple_type(F.schema_of_variant(path(n)))
+            strays = {
+                "number": shown[i].isNull() | (was == "boolean"), "boolean": shown[i].isNull() | (was == "number"),
+                "array<number>": shown[i].isNull() | (F.exists(shown[i], F.isnull)) | ~was.isin("array<number>", "number"),
+            }.get(kind, F.lit(False))
+            earlier = F.coalesce(*shown[:i], F.lit(None)).isNotNull() if i else F.lit(False)
+            if i or kind in ("number", "boolean", "array<number>"):
+                left.append(F.when(path(n).isNotNull() & was.isNotNull() & (strays | earlier), F.struct(F.lit(n).alias("key"), F.to_json(path(n)).alias("value"))))
+    kept = F.filter(F.array(*left), F.isnotnull) if left else F.array()
+    unfitting = F.when(F.size(kept) > 0, F.map_from_entries(kept)) if left else F.lit(None).cast("map<string,string>")
+    extra = "unfitting"
+    while extra in count or extra in keys:
+        extra += "_"
+    return parsed.select(*keys, F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m")).select(*keys, *columns, unfitting.alias(extra))

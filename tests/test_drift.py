@@ -39,5 +39,14 @@ def test_table_keeps_every_readable_record(spark):
     assert promoted("number", "string") == "string" and promoted("string", "array<string>") == "array<string>" and promoted("object", "number") == "json"
 
 
+def test_table_applies_single_renames_and_keeps_strays(spark):
+    files = {(1, 1): [{"checked": True, "n": i} for i in range(150)] + [{"checked": True, "n": "about five"}], (1, 2): [{"is_checked": False, "n": 7}] * 3, (2, 1): [{"checked": 1, "is_checked": True, "n": True}]}
+    df = lines(spark, files)
+    out = {r.line_id: r for r in consistent_table(df, schema_changes(df), ["line_id"]).collect()}
+    assert len(out) == 155 and "is_checked" not in out[1].asDict() and all(out[i].checked is (i < 152) for i in range(1, 155))
+    assert out[151].n is None and out[151].unfitting == {"n": '"about five"'} and out[1].unfitting is None and out[152].unfitting is None
+    assert out[155].unfitting == {"checked": "1", "is_checked": "true", "n": "true"}
+
+
 def test_empty(spark):
     assert schema_changes(spark.createDataFrame([], LINES)).count() == 0
