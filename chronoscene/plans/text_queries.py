@@ -68,6 +68,22 @@ def text_parse_period(spark: SparkSession, d: str) -> DataFrame:
     return v.select("row_id", *[F.round(f"v.{c}", 6).alias(c) for c in ("start", "mid", "end")])
 
 
+@query("""with t as (select row_id, generate_subscripts(video_location_precise, 1) - 1 as pos, unnest(video_location_precise) as p from timestamp_descriptions), a as (select row_id, pos, string_split(translate(p, '[]'' ', ''), ',') as a from t),
+f as (select row_id, pos, list_transform(a, lambda x: case when regexp_full_match(x, '\\d+') then x::double when regexp_full_match(x, '\\d+/0*[1-9]\\d*') then split_part(x, '/', 1)::int / split_part(x, '/', 2)::int end) as f from a),
+v as (select row_id, pos, case when len(f) = 2 and f[1] is not null and f[2] is not null then f end as f from f) select row_id, pos::int as pos, round(f[1], 6) as "start", round((f[1] + f[2]) / 2, 6) as mid, round(f[2], 6) as "end" from v""")
+def text_parse_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Every element of every row with its position from 0; nulls where it is null or no pair of fractions or whole numbers."""
+    return parsed_periods(table(spark, d, "timestamp_descriptions"))
+
+
+def parsed_periods(rows: DataFrame) -> DataFrame:
+    """``(row_id, pos, start, mid, end)`` of ``(row_id, video_location_precise)``."""
+    t = rows.select("row_id", F.posexplode("video_location_precise").alias("pos", "p"))
+    v = t.select("row_id", "pos", F.when(F.size(F.split("p", ",")) == 2, text.period(F.col("p"))).alias("v"))
+    whole = F.when(F.col("v.mid").isNotNull(), F.col("v"))
+    return v.select("row_id", "pos", whole.alias("v")).select("row_id", "pos", *[F.round(f"v.{c}", 6).alias(c) for c in ("start", "mid", "end")])
+
+
 @query("""with c as (select row_id, i, unnest(programmatic) as c from (select row_id, programmatic, 0 as i from timestamp_descriptions) where programmatic is not null), j as (select row_id, string_agg(c, ' and ' order by c) as p from c where c is not null group by 1),
 s as (select row_id, unnest(list_filter(regexp_split_to_array(p, ' or | and |^or\\(|^and\\(|;'), lambda x: x <> '')) as clause from j) select row_id, clause, count(*) as n from s group by 1, 2""")
 def text_split_program(spark: SparkSession, d: str) -> DataFrame:

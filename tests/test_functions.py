@@ -69,3 +69,11 @@ def test_masks(spark):
     image = [0, 1, 1, 2, 1, 1, 3, 2, 9, 0, 0, 2]
     runs = one(spark, geo.palette_runs(F.col("p"), 4, F.lit(3)), p=image)
     assert [tuple(r) for r in runs] == [(1, 0, 1, 2), (1, 1, 0, 2), (2, 0, 3, 1), (2, 1, 3, 1), (2, 2, 3, 1), (3, 1, 2, 1)]
+
+
+def test_every_period_of_a_row_is_parsed(spark):
+    from chronoscene.plans.text_queries import parsed_periods
+
+    rows = [(1, ["[0, 1/4]", " [ 60/120 ,90/120] ", None, "n/a", "[1/2]", "[0, 1/2, 1]", "[1/0, 1]"]), (2, None), (3, [])]
+    got = [tuple(r) for r in parsed_periods(spark.createDataFrame(rows, "row_id long, video_location_precise array<string>")).orderBy("pos").collect()]
+    assert got == [(1, 0, 0.0, 0.125, 0.25), (1, 1, 0.5, 0.625, 0.75), *((1, i, None, None, None) for i in range(2, 7))]
