@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronoscene.storage import materialized
+
 #: Core phrases of refusals in the languages of the corpus.
 REFUSALS = [
     "i am unable to", "i'm unable to", "i can't", "i cannot", "i can not", "i could not", "i couldn't", "i won't", "i will not", "i must decline", "i have to decline", "i don't have access", "i do not have access",
@@ -195,6 +197,19 @@ def defect_of(prompt: list[str], answer: list[str] | None, program: bool, model:
     return None, ending
 
 
+def finished_endings(counts: DataFrame, least_seen: int = 3, rare_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """``(ending, known)`` and ``(word, backed)`` of the counted endings ``(ending, n)`` of finished parts.
+
+    An ending seen ``least_seen`` times is known. Where the corpus is too small to have seen a last word's endings, that is
+    where endings seen less often make up ``rare_share`` or more of all that finish with the word, the word alone decides.
+    """
+    some = counts.where(~F.col("ending").isin("", BROKEN))
+    word = F.substring_index("ending", " ", -1).alias("word")
+    rare = F.sum(F.when(F.col("n") < least_seen, F.col("n")).otherwise(0)) / F.sum("n")
+    backed = some.groupBy(word).agg(rare.alias("rare")).where(F.col("rare") >= rare_share).select("word", F.lit(True).alias("backed"))
+    return some.where(F.col("n") >= least_seen).select("ending", F.lit(True).alias("known")), backed
+
+
 def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3, margin: float = 0.5) -> DataFrame:
     """``(pair_level, pair_id, defect)`` of the defective among ``pairs (pair_level, pair_id, prompt, answer)``.
 
@@ -202,7 +217,8 @@ def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3,
     language is English. Pairs with a null prompt are left out. An answer without content (null, no elements, blanks, marks
     or filler words only) is ``empty``; then ``copy``, ``refusal``, ``truncated`` and ``language`` are tried in that order, so
     a pair has at most one defect. Repeated pairs are judged each for itself. ``labelled (lang, text)`` trains the language
-    model. An ending counts as finished if at least ``least_seen`` other parts of answers, not the last of theirs, end so.
+    model. An ending counts as finished if at least ``least_seen`` other parts of answers, not the last of theirs, end so,
+    or by its last word where that word's endings are seldom seen (``finished_endings``).
     """
     model = language_model(labelled)
 
@@ -222,14 +238,14 @@ def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3,
 
     known = pairs.where("prompt is not null")
     judged = known.select("pair_level", "pair_id", "prompt", "answer").mapInPandas(judge, "pair_level string, pair_id long, defect string, ending string")
-    finished = (
+    counts = materialized(
         known.where("pair_level <> 'event' and size(answer) > 1").select("answer")
         .mapInPandas(endings, "ending string, n long")
         .groupBy("ending").agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= least_seen) & ~F.col("ending").isin("", BROKEN)).select("ending", F.lit(True).alias("known"))
     )
-    unfinished = (F.col("ending") != "") & F.col("known").isNull() & (F.col("defect").isNull())
-    out = judged.join(finished, "ending", "left")
+    unfinished = (F.col("ending") != "") & F.col("known").isNull() & F.col("backed").isNull() & (F.col("defect").isNull())
+    finished, backed = finished_endings(counts, least_seen)
+    out = judged.withColumn("word", F.substring_index("ending", " ", -1)).join(finished, "ending", "left").join(backed, "word", "left")
     return out.select("pair_level", "pair_id", F.when(unfinished, "truncated").otherwise(F.col("defect")).alias("defect")).where("defect is not null")
 
 

@@ -150,6 +150,16 @@ def test_program_defects(spark):
     assert pairs.defective_pairs(df.limit(0), labelled).count() == 0
 
 
+def test_rare_endings_are_judged_by_their_last_word(spark):
+    rows = [
+        ("caption", 1, ["A carpenter works."], ["A carpenter waits on the dry path.", "A carpenter fills a flowerpot on the muddy path."]),
+        ("caption", 2, ["A baker works."], ["A baker rests.", "A baker waits behind the"]),
+    ]
+    df = spark.createDataFrame(rows, "pair_level string, pair_id long, prompt array<string>, answer array<string>")
+    labelled = spark.createDataFrame([("en", " ".join([*r[2], *r[3]])) for r in rows], "lang string, text string")
+    assert [tuple(r) for r in pairs.defective_pairs(df, labelled).collect()] == [("caption", 2, "truncated")]
+
+
 # --- 7 packing, 8 mixing ------------------------------------------------------------------------------------------
 
 
