@@ -78,13 +78,13 @@ def _jaccard(a: Column, b: Column) -> Column:
 def value_profile(fields: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, token, share)``: what the values of a field are made of, as a unit vector.
 
-    Tokens are words of the JSON text with digits as 9, the marks around them, and the number of array elements.
+    Tokens are words of the JSON text with digits as 9, the shape of the whole text (a hash of the marks around them), and the number of array elements.
     """
     text = F.regexp_replace(F.lower("value"), "[0-9]+", "9")
     marks = F.regexp_replace(F.regexp_replace(text, "[a-zà-ÿ]+", "a"), r"(a )+a", "a")
     tokens = F.concat(
         F.transform(F.regexp_extract_all(text, F.lit("([a-zà-ÿ]+|9[^a-z]*9|9)"), F.lit(1)), lambda w: F.concat(F.lit("w:"), w)),
-        F.array(F.concat(F.lit("s:"), F.substring(marks, 1, 40)), F.concat(F.lit("n:"), F.least(F.size(F.split("value", '","')), F.lit(4)))),
+        F.array(F.concat(F.lit("s:"), F.xxhash64(marks)), F.concat(F.lit("n:"), F.size(F.split("value", '","')))),
     )
     counts = fields.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
     norm = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))

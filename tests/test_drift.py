@@ -1,6 +1,6 @@
 import json
 
-from chronoscene.operators.drift import consistent_table, promoted, schema_changes
+from chronoscene.operators.drift import consistent_table, promoted, schema_changes, value_profile
 
 LINES = "feed_id int, file_no int, file_id long, line_no int, line_id long, record string, extra string"
 
@@ -48,5 +48,15 @@ def test_table_applies_single_renames_and_keeps_strays(spark):
     assert out[155].unfitting == {"checked": "1", "is_checked": "true", "n": "true"}
 
 
+def test_profile_tells_values_that_differ_late(spark):
+    long = "a, 1; " * 20
+    rows = [("x", '"' + long + '."'), ("y", '"' + long + '!"'), ("p", json.dumps(["a"] * 5, separators=(",", ":"))), ("q", json.dumps(["a"] * 9, separators=(",", ":")))]
+    got = {}
+    for r in value_profile(spark.createDataFrame(rows, "name string, value string"), ["name"]).collect():
+        got.setdefault(r["name"], set()).add(r["token"])
+    shape = lambda n: {t for t in got[n] if t.startswith("s:")}
+    assert shape("x") != shape("y") and "n:5" in got["p"] and "n:9" in got["q"]
+
+
 def test_empty(spark):
     assert schema_changes(spark.createDataFrame([], LINES)).count() == 0
