@@ -50,7 +50,7 @@ def split_logic(clause: Column) -> Column:
     parts = F.filter(F.split(clause, r" or | and |^or\(|^and\(|;"), lambda p: p != "")
     n = F.size(parts)
     wrapped = (n > 1) & F.get(parts, F.lit(0)).startswith("(") & F.get(parts, n - 1).endswith(")")
-    cut = F.transform(parts, lambda p, i: F.when(i == 0, F.substring(p, 2, 100_000)).when(i == n - 1, F.left(p, F.length(p) - 1)).otherwise(p))
+    cut = F.transform(parts, lambda p, i: F.when(i == 0, F.substr(p, F.lit(2))).when(i == n - 1, F.left(p, F.length(p) - 1)).otherwise(p))
     return F.when(wrapped, cut).otherwise(parts)
 
 
@@ -92,7 +92,9 @@ def class_prompt(classes: Column) -> Column:
 
 
 def frame_path(directory: Column, fid: Column) -> Column:
-    return F.concat(directory, F.lit("/"), F.lpad(fid.cast("string"), 4, "0"), F.lit(".png"))
+    """Path of a frame's image: its number padded to four digits, longer numbers whole."""
+    number = fid.cast("string")
+    return F.concat(directory, F.lit("/"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number), F.lit(".png"))
 
 
 def filled_keywords(keywords: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, fields
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -265,7 +266,7 @@ def compile_formula(scene: Scene, formula: object, keep: list | None = None) ->
     index = {a: f"_a{i}" for i, a in enumerate(atoms)}
     whole = Window.partitionBy("video_id", *vs)
     order = whole.orderBy("t")
-    fresh = iter(range(10_000))
+    fresh = count()
 
     def define(df: DataFrame, value: Column) -> tuple[DataFrame, Column]:
         name = f"_x{next(fresh)}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chronoscene.functions import text
 from chronoscene.operators import graph, scoring
@@ -58,47 +58,53 @@ def text_parse_time_range(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", r.alias("r")).select("n_nationkey", "r", F.inline(F.array(text.time_range(F.col("r")))))
 
 
-@query("""with t as (select row_id, list_filter(video_location_precise, lambda x: regexp_full_match(x, '\\[\\d+(/\\d+)?, \\d+(/\\d+)?\\]'))[1] as p from timestamp_descriptions), s as (select row_id, p, string_split(translate(p, '[] ', ''), ',') as a from t where p is not null),
-v as (select row_id, p, case when contains(a[1], '/') then split_part(a[1], '/', 1)::int / split_part(a[1], '/', 2)::int else a[1]::int end::double as s, case when contains(a[2], '/') then split_part(a[2], '/', 1)::int / split_part(a[2], '/', 2)::int else a[2]::int end::double as e from s)
-select row_id, round(s, 6) as "start", round((s + e) / 2, 6) as mid, round(e, 6) as "end" from v""")
+PERIODS = """with t as (select row_id, generate_subscripts(video_location_precise, 1) - 1 as pos, unnest(video_location_precise) as p from timestamp_descriptions), a as (select row_id, pos, string_split(translate(p, '[]'' ', ''), ',') as a from t),
+f as (select row_id, pos, list_transform(a, lambda x: case when regexp_full_match(x, '\\d+') then x::double when regexp_full_match(x, '\\d+/0*[1-9]\\d*') then split_part(x, '/', 1)::int / split_part(x, '/', 2)::int end) as f from a),
+v as (select row_id, pos, case when len(f) = 2 and f[1] is not null and f[2] is not null then f end as f from f)"""
+
+
+@query(PERIODS + ", p as (select row_id, min(pos) as pos from v where f is not null group by 1) select t.row_id, round(f[1], 6) as \"start\", round((f[1] + f[2]) / 2, 6) as mid, round(f[2], 6) as \"end\" from timestamp_descriptions t left join p on p.row_id = t.row_id left join v on v.row_id = p.row_id and v.pos = p.pos")
 def text_parse_period(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "timestamp_descriptions")
-    p = F.get(F.filter("video_location_precise", lambda x: x.rlike(r"^\[\d+(/\d+)?, \d+(/\d+)?\]$")), F.lit(0))
-    v = t.select("row_id", p.alias("p")).where("p is not null").select("row_id", text.period(F.col("p")).alias("v"))
-    return v.select("row_id", *[F.round(f"v.{c}", 6).alias(c) for c in ("start", "mid", "end")])
+    """The first readable period of every row, nulls where it has none."""
+    t = table(spark, d, "timestamp_descriptions").select("row_id", "video_location_precise")
+    values = F.filter(F.transform("video_location_precise", whole_period), lambda v: v.isNotNull())
+    return t.select("row_id", F.get(values, F.lit(0)).alias("v")).select("row_id", *[F.round(f"v.{c}", 6).alias(c) for c in ("start", "mid", "end")])
 
 
-@query("""with t as (select row_id, generate_subscripts(video_location_precise, 1) - 1 as pos, unnest(video_location_precise) as p from timestamp_descriptions), a as (select row_id, pos, string_split(translate(p, '[]'' ', ''), ',') as a from t),
-f as (select row_id, pos, list_transform(a, lambda x: case when regexp_full_match(x, '\\d+') then x::double when regexp_full_match(x, '\\d+/0*[1-9]\\d*') then split_part(x, '/', 1)::int / split_part(x, '/', 2)::int end) as f from a),
-v as (select row_id, pos, case when len(f) = 2 and f[1] is not null and f[2] is not null then f end as f from f) select row_id, pos::int as pos, round(f[1], 6) as "start", round((f[1] + f[2]) / 2, 6) as mid, round(f[2], 6) as "end" from v""")
+@query(PERIODS + """ select row_id, pos::int as pos, round(f[1], 6) as "start", round((f[1] + f[2]) / 2, 6) as mid, round(f[2], 6) as "end" from v""")
 def text_parse_periods(spark: SparkSession, d: str) -> DataFrame:
     """Every element of every row with its position from 0; nulls where it is null or no pair of fractions or whole numbers."""
     return parsed_periods(table(spark, d, "timestamp_descriptions"))
 
 
+def whole_period(p: Column) -> Column:
+    """The period of a text of two readable parts, else null."""
+    v = text.period(p)
+    return F.when((F.size(F.split(p, ",")) == 2) & v["mid"].isNotNull(), v)
+
+
 def parsed_periods(rows: DataFrame) -> DataFrame:
     """``(row_id, pos, start, mid, end)`` of ``(row_id, video_location_precise)``."""
     t = rows.select("row_id", F.posexplode("video_location_precise").alias("pos", "p"))
-    v = t.select("row_id", "pos", F.when(F.size(F.split("p", ",")) == 2, text.period(F.col("p"))).alias("v"))
-    whole = F.when(F.col("v.mid").isNotNull(), F.col("v"))
-    return v.select("row_id", "pos", whole.alias("v")).select("row_id", "pos", *[F.round(f"v.{c}", 6).alias(c) for c in ("start", "mid", "end")])
+    return t.select("row_id", "pos", whole_period(F.col("p")).alias("v")).select("row_id", "pos", *[F.round(f"v.{c}", 6).alias(c) for c in ("start", "mid", "end")])
 
 
 @query("""with c as (select row_id, i, unnest(programmatic) as c from (select row_id, programmatic, 0 as i from timestamp_descriptions) where programmatic is not null), j as (select row_id, string_agg(c, ' and ' order by c) as p from c where c is not null group by 1),
-s as (select row_id, unnest(list_filter(regexp_split_to_array(p, ' or | and |^or\\(|^and\\(|;'), lambda x: x <> '')) as clause from j) select row_id, clause, count(*) as n from s group by 1, 2""")
+l as (select row_id, list_filter(regexp_split_to_array(p, ' or | and |^or\\(|^and\\(|;'), lambda x: x <> '') as a from j),
+w as (select row_id, a, len(a) > 1 and starts_with(a[1], '(') and ends_with(a[-1], ')') as w from l),
+s as (select row_id, unnest(case when w then list_transform(a, lambda x, i: case when i = 1 then x[2:] when i = len(a) then x[:-2] else x end) else a end) as clause from w) select row_id, clause, count(*) as n from s group by 1, 2""")
 def text_split_program(spark: SparkSession, d: str) -> DataFrame:
     """Clauses joined by ``and`` and split again, as programs that stick together are."""
     t = table(spark, d, "timestamp_descriptions").where("programmatic is not null")
     joined = t.select("row_id", F.array_join(F.array_sort(F.filter("programmatic", lambda c: c.isNotNull())), " and ").alias("p"))
-    parts = F.filter(F.split("p", r" or | and |^or\(|^and\(|;"), lambda x: x != "")
-    return joined.select("row_id", F.explode(parts).alias("clause")).groupBy("row_id", "clause").agg(F.count("*").alias("n"))
+    return joined.select("row_id", F.explode(text.split_logic(F.col("p"))).alias("clause")).groupBy("row_id", "clause").agg(F.count("*").alias("n"))
 
 
-@query("""with j as (select row_id, array_to_string(list_filter(programmatic, lambda c: regexp_full_match(c, '[a-z ]+\\([^()]*\\)')), ',') as p from timestamp_descriptions where programmatic is not null),
+@query("""with j as (select row_id, array_to_string(list_filter(programmatic, lambda c: c is not null), ',') as p from timestamp_descriptions where programmatic is not null),
 s as (select row_id, string_split(p, '),') as a from j where p <> '') select row_id, i, case when i < len(a) then a[i] || ')' else a[i] end as clause from (select row_id, a, generate_subscripts(a, 1) as i from s)""")
 def text_split_commas(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "timestamp_descriptions").where("programmatic is not null")
-    j = t.select("row_id", F.array_join(F.filter("programmatic", lambda c: c.rlike(r"^[a-z ]+\([^()]*\)$")), ",").alias("p")).where("p <> ''")
+    j = t.select("row_id", F.array_join("programmatic", ",").alias("p")).where("p <> ''")
     return j.select("row_id", F.posexplode(text.split_commas(F.col("p"))).alias("i", "clause")).select("row_id", (F.col("i") + 1).alias("i"), "clause")
 
 
@@ -107,9 +113,9 @@ def text_class_prompt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").groupBy("n_regionkey").agg(text.class_prompt(F.array_sort(F.collect_list("n_name"))).alias("prompt"))
 
 
-@query("select video_id, 'masks/' || video_id || '/' || lpad((n_frames - 1)::varchar, 4, '0') || '.png' as path from videos where n_frames between 1 and 9999")
+@query("select video_id, 'masks/' || video_id || '/' || case when n_frames <= 10000 then lpad((n_frames - 1)::varchar, 4, '0') else (n_frames - 1)::varchar end || '.png' as path from videos where n_frames >= 1")
 def text_frame_path(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "videos").where("n_frames between 1 and 9999")
+    v = table(spark, d, "videos").where("n_frames >= 1")
     return v.select("video_id", text.frame_path(F.concat(F.lit("masks/"), "video_id"), F.col("n_frames") - 1).alias("path"))
 
 
@@ -159,10 +165,11 @@ def kw_negative_by_similarity(spark: SparkSession, d: str) -> DataFrame:
     return z.groupBy("keyword").agg(F.max("sim").alias("s")).where("s <= 0.3").select("keyword", F.round("s", 6).alias("most_alike"))
 
 
-@query("select spec_id, list_sort(list_distinct(list_filter(unary_kws, lambda x: not list_contains(coalesce(binary_kws, []::varchar[]), x)))) as only_unary from batched_gpt_specs where unary_kws is not null and len(list_filter(unary_kws, lambda x: x is null)) = 0 and len(list_filter(coalesce(binary_kws, []), lambda x: x is null)) = 0")
+@query("select spec_id, list_sort(list_distinct(list_filter(unary_kws, lambda x: x is not null and not coalesce(list_contains(binary_kws, x), false)))) as only_unary from batched_gpt_specs where unary_kws is not null")
 def kw_set_difference(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "batched_gpt_specs").where("unary_kws is not null and size(filter(unary_kws, x -> x is null)) = 0 and size(filter(coalesce(binary_kws, array()), x -> x is null)) = 0")
-    return s.select("spec_id", F.array_sort(F.array_except("unary_kws", F.coalesce("binary_kws", F.array().cast("array<string>")))).alias("only_unary"))
+    """Keywords of the first list that the second lacks, each once; null elements are left out, a null second list is empty."""
+    s = table(spark, d, "batched_gpt_specs").where("unary_kws is not null")
+    return s.select("spec_id", F.array_sort(F.array_except(F.array_compact("unary_kws"), F.coalesce("binary_kws", F.array().cast("array<string>")))).alias("only_unary"))
 
 
 @query("select spec_id, list_sort(list_distinct(list_filter(list_concat(coalesce(unary_kws, []::varchar[]), coalesce(consts, []::varchar[])), lambda x: x is not null))) as kws from batched_gpt_specs")
