@@ -83,7 +83,7 @@ def compiled_programs(events: DataFrame, key: str, programs: str) -> DataFrame:
 
 
 def windowed_programs(events: DataFrame, size: int = 3) -> DataFrame:
-    """``(video_id, window_no, prog)``: specification texts of ``size`` consecutive events of ``(video_id, event_id, programmatic)``.
+    """``(video_id, window_no, prog, consts)``: specification texts of ``size`` consecutive events of ``(video_id, event_id, programmatic)``.
 
     Events with the same number are taken in the order of their program text; rejected programs and rows without video or
     event leave no place. Windows are cut per video by position; a window, not a video, is the unit of the compilation.
@@ -102,7 +102,7 @@ def windowed_programs(events: DataFrame, size: int = 3) -> DataFrame:
             for vid, no, events in zip(b["video_id"], b["window_no"], b["events"], strict=True):
                 good = [c for c in (compile_event(list(e["programmatic"])) for e in events) if c["reason"] is None]
                 if good:
-                    rows.append((vid, no, specification(good)[0]))
-            yield pd.DataFrame(rows, columns=["video_id", "window_no", "prog"])
+                    rows.append((vid, no, *specification(good)))
+            yield pd.DataFrame(rows, columns=["video_id", "window_no", "prog", "consts"])
 
-    return windows.mapInPandas(run, "video_id string, window_no long, prog string")
+    return windows.mapInPandas(run, "video_id string, window_no long, prog string, consts array<string>")

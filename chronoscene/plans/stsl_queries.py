@@ -74,14 +74,6 @@ def points(name: str, p: str) -> str:
     return f"{name} as (select u.video_id, u.oid as v, u.fid as t from u join mx using (video_id) where predicate = '{p}' and u.fid < mx.m)"
 
 
-def _windowed(spark: SparkSession, d: str) -> DataFrame:
-    s, out = scene(spark, d), None
-    for number, (_, events) in enumerate(stsl.program_windows(PROGRAM5)):
-        rows = stsl.aligned_times(s, events).select("video_id", F.lit(number).alias("window_no"), "event_no", "t")
-        out = rows if out is None else out.union(rows)
-    return out
-
-
 WINDOWED_SQL = _with(
     f", {points('qa', 'view')}, {points('qb', 'click')}, {points('qc', 'purchase')}, {points('qe', 'error')}, {points('qf', 'signup')},"
     "j as (select a.video_id, a.t as t1, b.t as t2, c.t as t3 from qa a join qb b on a.video_id = b.video_id and a.v = b.v and a.t < b.t join qc c on c.video_id = a.video_id and c.v = a.v and b.t < c.t),"
@@ -116,7 +108,6 @@ QUERIES = {
     "stsl_chain1": lambda spark, d: stsl.aligned_times(scene(spark, d), CHAIN3[:1]),
     "stsl_chain2": lambda spark, d: stsl.aligned_times(scene(spark, d), CHAIN2),
     "stsl_chain3": lambda spark, d: stsl.aligned_times(scene(spark, d), CHAIN3),
-    "stsl_windowed_batch": _windowed,
 }
 
 _neg = "(select count(distinct oid) from nm where nm.video_id = g.video_id and nm.cid = -1)"
@@ -149,5 +140,4 @@ ORACLES = {
     "stsl_chain1": _with(f", {points('qa', 'click')} select distinct video_id, 1 as event_no, t from qa"),
     "stsl_chain2": _with(f", {chains([points('qa', 'click'), points('qb', 'purchase')])}"),
     "stsl_chain3": _with(f", {chains([points('qa', 'click'), points('qb', 'view'), points('qc', 'purchase')])}"),
-    "stsl_windowed_batch": WINDOWED_SQL,
 }
