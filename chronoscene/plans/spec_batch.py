@@ -261,3 +261,12 @@ def program_facts(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = r"""^\s*name\s*\(\s*([A-Z])\s*,\s*"?([^()",]*[^()",\s])"?\s*\)\s*$"""
     names = c.select("video_id", F.regexp_extract("c", named, 1).alias("x"), F.lower(F.regexp_extract("c", named, 2)).alias("name")).where("x <> '' and length(name) > 1")
     return unary, binary, names.select("video_id", oid("x").alias("oid"), "name").distinct()
+
+
+def tuple_facts(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unary and binary facts from the positive tuples over variables of ``(video_id, tuples)``; the place in the list is the frame."""
+    u = specs.where("video_id is not null").select("video_id", F.posexplode("tuples").alias("fid", "u")).where("u.positive and u.predicate is not null and size(u.args) between 1 and 2")
+    u = u.where(F.forall("u.args", lambda a: F.coalesce(a.rlike("^[A-Z]$"), F.lit(False))))
+    oid = lambda i: F.ascii(F.get("u.args", F.lit(i))) - 64
+    unary = u.where("size(u.args) = 1").select("video_id", "fid", oid(0).alias("oid"), F.col("u.predicate").alias("predicate"))
+    return unary.distinct(), u.where("size(u.args) = 2").select("video_id", "fid", F.col("u.predicate").alias("predicate"), oid(0).alias("o1"), oid(1).alias("o2")).distinct()

@@ -15,7 +15,9 @@ _AGREE = lambda x, y: " and ".join(f"({x}.v{i} <> {y}.v{j} or {x}.o{i} = {y}.o{j
 
 SPEC_SQL = rf"""with c as (select video_id, event_id as fid, unnest(programmatic) as c from timestamp_descriptions where video_id is not null and event_id is not null),
 m as (select video_id, fid, lower(regexp_extract(c, '{CLAUSE}', 1)) as p, regexp_extract(c, '{CLAUSE}', 2) as x, regexp_extract(c, '{CLAUSE}', 3) as y from c where c is not null),
-f as (select distinct video_id, fid, p, y <> '' as two, ascii(x) - 64 as o1, case when y = '' then ascii(x) - 64 else ascii(y) - 64 end as o2 from m where x <> ''),
+tu as (select video_id, generate_subscripts(tuples, 1) - 1 as fid, unnest(tuples) as u from batched_gpt_specs where video_id is not null),
+td as (select video_id, fid, u.predicate as p, u.args[1] as x, coalesce(u.args[2], '') as y from tu where u.positive and u.predicate is not null and len(u.args) between 1 and 2 and len(list_filter(u.args, lambda a: regexp_full_match(a, '[A-Z]'))) = len(u.args)),
+f as (select distinct video_id, fid, p, y <> '' as two, ascii(x) - 64 as o1, case when y = '' then ascii(x) - 64 else ascii(y) - 64 end as o2 from (select * from m where x <> '' union all select * from td)),
 ft as (select * from f where fid >= 0),
 pr as (select spec_id, -1 as window_no, video_id, prog from batched_gpt_specs union all select spec_id, generate_subscripts(windowed_prog, 1) - 1, video_id, unnest(windowed_prog).prog from batched_gpt_specs),
 ok as (select * from pr where video_id is not null and regexp_full_match(prog, '{_E}|Until\({_E}, {_E}\)|Until\({_E}, Until\({_E}, {_E}\)\)')),
@@ -30,8 +32,10 @@ union select spec_id, window_no, 1, t1 from j3 union select spec_id, window_no,
 
 
 def project_facts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    """Unary facts, binary facts, names, time domain (all events, the last one too) and objects of the annotated programs."""
+    """Unary facts, binary facts, names, time domain (the last frame too) and objects: annotated programs of the events and the specifications' own tuples."""
     unary, binary, names = spec_batch.program_facts(table(spark, d, "timestamp_descriptions").select("video_id", "event_id", "programmatic"))
+    own_unary, own_binary = spec_batch.tuple_facts(table(spark, d, "batched_gpt_specs").select("video_id", "tuples"))
+    unary, binary = unary.union(own_unary), binary.union(own_binary)
     frames = unary.select("video_id", "fid").union(binary.select("video_id", "fid"))
     sides = unary.select("video_id", "oid").union(binary.select("video_id", "o1")).union(binary.select("video_id", "o2"))
     return unary, binary, names, adapters.time_domain(frames, include_last_frame=True), sides.distinct()
