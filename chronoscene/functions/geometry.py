@@ -109,10 +109,24 @@ def union_length(spans: Column) -> Column:
 def palette_runs(pixels: Column, width: int, most: Column) -> Column:
     """array<struct<id, y, x, len>> of a flat palette image: one run per row and instance id from 1 to ``most``, 0 is background.
 
-    Suited to the small images of tests and thumbnails; full frames come as run-length masks.
+    One look at each pixel and its neighbours finds where runs open and close; the n-th opening goes with the n-th closing.
     """
-    cells = F.filter(F.transform(pixels, lambda v, i: F.struct(v.alias("id"), F.floor(i / width).cast("int").alias("y"), (i % width).alias("x"))), lambda c: (c["id"] > 0) & (c["id"] <= most))
-    opens = F.filter(cells, lambda c: ~F.array_contains(cells, F.struct(c["id"].alias("id"), c["y"].alias("y"), (c["x"] - 1).alias("x"))))
-    closes = F.filter(cells, lambda c: ~F.array_contains(cells, F.struct(c["id"].alias("id"), c["y"].alias("y"), (c["x"] + 1).alias("x"))))
-    runs = F.arrays_zip(F.array_sort(opens).alias("o"), F.array_sort(closes).alias("c"))
-    return F.transform(runs, lambda r: F.struct(r["o"]["id"].alias("id"), r["o"]["y"].alias("y"), r["o"]["x"].alias("x"), (r["c"]["x"] - r["o"]["x"] + 1).alias("len")))
+    n = F.size(pixels)
+    valid = lambda v: F.when((v > 0) & (v <= most), v)
+    at = lambda i: valid(F.get(pixels, i.cast("int")))
+    places = F.transform(pixels, lambda v, i: F.struct(valid(v).alias("id"), i.alias("i")))
+    cells = F.filter(places, lambda c: c["id"].isNotNull())
+    opens = F.filter(cells, lambda c: (c["i"] % width == 0) | ~c["id"].eqNullSafe(at(F.greatest(c["i"] - 1, F.lit(0)))))
+    closes = F.filter(cells, lambda c: ((c["i"] + 1) % width == 0) | (c["i"] + 1 == n) | ~c["id"].eqNullSafe(at(c["i"] + 1)))
+    runs = F.zip_with(opens, closes, lambda o, c: F.struct(o["id"].alias("id"), F.floor(o["i"] / width).cast("int").alias("y"), (o["i"] % width).alias("x"), (c["i"] - o["i"] + 1).alias("len")))
+    return F.array_sort(runs)
+
+
+def nonempty_boxes(masks: Column) -> Column:
+    """Inclusive bounding boxes of a list of run-length masks; empty masks are left out."""
+    return F.transform(F.filter(masks, lambda m: F.size(m) > 0), runs_box)
+
+
+def inside(b: Column, width: Column, height: Column) -> Column:
+    """Does the box show in a frame of that size."""
+    return (b["x2"] > 0) & (b["y2"] > 0) & (b["x1"] < width) & (b["y1"] < height)

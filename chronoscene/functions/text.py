@@ -40,6 +40,71 @@ def without_variables(text: Column) -> Column:
     return F.array_join(F.filter(keyword_tokens(text), lambda w: ~is_variable(w)), "_")
 
 
+def missing_variables(text: Column) -> Column:
+    """The variables among the keyword's words, which ``without_variables`` drops."""
+    return F.filter(keyword_tokens(text), is_variable)
+
+
+def lower_variables(args: Column) -> Column:
+    """Arguments with their variables in lower case."""
+    return F.transform(args, lambda a: F.when(is_variable(a), F.lower(a)).otherwise(a))
+
+
+def inline_names(args: Column, names: Column) -> Column:
+    """Arguments in which variables give way to their nouns in the map ``names`` (``?a`` to noun); others stay."""
+    return F.transform(args, lambda a: F.when(is_variable(a), F.coalesce(F.try_element_at(names, F.concat(F.lit("?"), F.lower(F.right(a, F.lit(1))))), a)).otherwise(a))
+
+
+def ordered_pairs(args: Column) -> Column:
+    """array<struct<first, second>> of all ordered pairs of different places of a list."""
+    pairs = F.transform(args, lambda x, i: F.transform(F.filter(F.transform(args, lambda y, j: F.struct(j.alias("j"), y.alias("y"))), lambda s: s["j"] != i), lambda s: F.struct(x.alias("first"), s["y"].alias("second"))))
+    return F.flatten(pairs)
+
+
+def term_id(arg: Column, consts: Column) -> Column:
+    """The number of a variable, or the negated place from 1 of a constant in ``consts``; null for unknown words."""
+    return F.when(is_variable(arg), variable_id(arg)).otherwise(F.nullif(-F.array_position(consts, arg), F.lit(0)))
+
+
+def split_frame_key(key: Column) -> Column:
+    """struct(video, fid) of ``VIDEO/FRAME.png``."""
+    return F.struct(F.regexp_extract(key, "^(.*)/[^/]*$", 1).alias("video"), F.regexp_extract(key, r"/(\d+)\.[^/]*$", 1).try_cast("int").alias("fid"))
+
+
+def file_frame(path: Column) -> Column:
+    """Frame of an image file whose numbers start at 1: the number before the extension less one."""
+    return F.regexp_extract(path, r"(\d+)\.[^/.]*$", 1).try_cast("int") - 1
+
+
+def kept_by_stop_words(keyword: Column, words: list[str], exact: list[str]) -> Column:
+    """Is none of the keyword's words a stop word, and the whole keyword none of ``exact``."""
+    return ~keyword.isin(*exact) & ~F.arrays_overlap(F.split(keyword, " "), F.array(*map(F.lit, words)))
+
+
+def inclusive_range(text: Column) -> Column:
+    """struct(start, end) of ``a-b`` with whole numbers: half-open, the last one inside."""
+    parts = F.split(text, "-")
+    return F.struct(F.get(parts, F.lit(0)).try_cast("int").alias("start"), (F.get(parts, F.lit(1)).try_cast("int") + 1).alias("end"))
+
+
+def second_to_frame(seconds: Column, fps: Column, total: Column) -> Column:
+    """Frame at a time, between 0 and the last one."""
+    return F.least(F.greatest(F.floor(seconds * fps), F.lit(0)), total - 1)
+
+
+def frame_span(start: Column, end: Column, fps: Column, total: Column) -> Column:
+    """struct(first, last): frames of a span of seconds inside the video, the last not before the first."""
+    first = second_to_frame(start, fps, total)
+    return F.struct(first.alias("first"), F.greatest(second_to_frame(end, fps, total), first).alias("last"))
+
+
+def wrapped_prompt(context: str, query: str, captions: Column, examples: str | None = None) -> Column:
+    """Prompt text: context, examples if any, query, and a numbered line per struct(video_id, caption)."""
+    lines = F.transform(captions, lambda c, i: F.concat(i.cast("string"), F.lit(". video id: "), c["video_id"], F.lit(" caption: "), c["caption"]))
+    head = [F.lit(x) for x in (context, *([examples] if examples else []), query)]
+    return F.array_join(F.concat(F.array(*head), lines), "\n")
+
+
 def variable_id(name: Column) -> Column:
     """1 for A or ?a, 2 for B or ?b, and so on."""
     return F.ascii(F.lower(F.right(name, F.lit(1)))) - 96

@@ -36,7 +36,8 @@ def cross_entropy(p: Column, y: Column) -> Column:
 
 
 def logit(p: Column) -> Column:
-    return F.ln(p / (1 - p))
+    """Logarithm of the odds; null for 0 and 1."""
+    return F.when((p > 0) & (p < 1), F.ln(p / (1 - p)))
 
 
 def coarse_weight(label: str, fid: Column, n: Column, part: float = 0.3) -> Column:

@@ -139,7 +139,7 @@ KW = "kw as (select spec_id, unnest(unary_kws) as k from batched_gpt_specs), cl
 
 def _frequency(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "batched_gpt_specs").select(F.explode(text.kept_keywords(F.coalesce("unary_kws", F.array().cast("array<string>")))).alias("k"))
-    s = s.where(~F.col("k").isin("unknown", "none") & ~F.arrays_overlap(F.split("k", " "), F.array(F.lit("todo"), F.lit("still"))))
+    s = s.where(text.kept_by_stop_words(F.col("k"), ["todo", "still"], ["unknown", "none"]))
     return s.groupBy("k").agg(F.count("*").alias("n")).where("n > 2")
 
 

@@ -77,3 +77,30 @@ def test_every_period_of_a_row_is_parsed(spark):
     rows = [(1, ["[0, 1/4]", " [ 60/120 ,90/120] ", None, "n/a", "[1/2]", "[0, 1/2, 1]", "[1/0, 1]"]), (2, None), (3, [])]
     got = [tuple(r) for r in parsed_periods(spark.createDataFrame(rows, "row_id long, video_location_precise array<string>")).orderBy("pos").collect()]
     assert got == [(1, 0, 0.0, 0.125, 0.25), (1, 1, 0.5, 0.625, 0.75), *((1, i, None, None, None) for i in range(2, 7))]
+
+
+def test_dataset_operators(spark):
+    from pyspark.sql import functions as F
+
+    from chronoscene.operators import dataset
+
+    row = spark.createDataFrame([('{"a": {"b": 1, "c": [1]}, "d": 2}', '{"a": {"c": null, "e": 3}}'), (None, "{"), ("[1]", '{"x": 1}')], "l string, r string")
+    assert [r.m for r in row.select(dataset.merged_json(F.col("l"), F.col("r")).alias("m")).collect()] == ['{"a": {"b": 1, "c": null, "e": 3}, "d": 2}', "{}", '{"x": 1}']
+    assert [r.m for r in row.select(dataset.renamed_keys(F.col("l"), {"b": "z"}).alias("m")).collect()] == ['{"a": {"z": 1, "c": [1]}, "d": 2}', None, "[1]"]
+    words = spark.createDataFrame([("ladr",), (None,), ("",)], "t string")
+    assert [r.i for r in words.select(dataset.best_by_ratio(F.col("t"), ["mirror", "ladder", "ladders"]).alias("i")).collect()] == [1, None, 0]
+    points = spark.createDataFrame([("v", -3), ("v", 5), ("w", 5), ("v", None)], "k string, p int")
+    spans = spark.createDataFrame([("v", -10, 6, "long"), ("v", 5, 5, "empty"), ("v", 6, 9, "late"), ("v", None, 9, "open")], "k string, s int, e int, n string")
+    assert sorted((r.p, r.n) for r in dataset.points_in_intervals(points, spans, "k", "p", "s", "e", 4).collect()) == [(-3, "long"), (5, "long")]
+    assert dataset.sharded(words.where("false"), "t", 3).count() == 0
+    frames = spark.createDataFrame([("v", 1, ["a"], None, [(0, 0, 1, 1), None], "x")] * 2, "video_id string, fid int, gt_labels array<string>, gt_instance_ids array<bigint>, gt_bboxes array<struct<x1:int,y1:int,x2:int,y2:int>>, id string")
+    assert [(r.pos, r.label, r.oid, r.b is None) for r in dataset.elements(frames).orderBy("pos").collect()] == [(0, "a", None, False), (1, None, None, True)]
+
+
+def test_frame_paths_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from chronoscene.functions import text
+
+    rows = spark.createDataFrame([(7,), (10000,), (123456,)], "n int").select(text.frame_path(F.lit("m"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in rows] == ["m/0007.png", "m/10000.png", "m/123456.png"]
