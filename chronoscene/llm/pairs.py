@@ -1,7 +1,9 @@
 """Defects of prompt and response pairs.
 
-Copies: shingle containment of the prompt in the response chooses candidates, the longest common subsequence of their
-tokens decides. Refusals: the response is aligned with refusal templates in the same way. Broken-off answers end in no way
+Copies: containment of the prompt's shingles in the response chooses candidates, the longest common subsequence of both
+decides by the share it matches and by where the rest stands. As a copy may be divided anew within words, tokens are
+joined and shingles and alignment run over letters. Refusals: the opening of the response is aligned with refusal
+templates, and the response as a whole may repeat little of the prompt. Broken-off answers end in no way
 in which finished parts of the corpus end, or leave brackets open. The language of prompt and response is told by letter
 triples counted over the whole corpus.
 """
@@ -39,8 +41,8 @@ for _t in _TEMPLATES:
         _STARTS.setdefault(_pair, []).append(_t)
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of two token lists, by bit-parallel dynamic programming."""
+def lcs(a: list[str] | str, b: list[str] | str) -> int:
+    """Length of the longest common subsequence of two lists of tokens or two texts, by bit-parallel dynamic programming."""
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | (1 << i)
@@ -53,8 +55,9 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def shingles(tokens: list[str], n: int = 2) -> set[tuple[str, ...]]:
-    return {tuple(tokens[i : i + n]) for i in range(max(len(tokens) - n + 1, 1))} if tokens else set()
+def shingles(text: str, n: int = 5) -> set[str]:
+    """Runs of ``n`` letters of a text, or the whole of a shorter one."""
+    return {text[i : i + n] for i in range(max(len(text) - n + 1, 1))} if text else set()
 
 
 def tokens_of(text: str) -> list[str]:
@@ -65,29 +68,44 @@ def is_empty(text: str) -> bool:
     return re.sub(r"[\W_]+", "", text.lower()) in BLANKS
 
 
-def is_copy(prompt: list[str], response: list[str], extra: int = 3) -> bool:
-    """The prompt's tokens again, in order, with at most ``extra`` tokens (a label) in front, wherever it is divided."""
-    if not prompt:
-        return False
+def lead_tokens(tokens: list[str], letters: int) -> int:
+    """How many tokens lie, at least in part, within the first ``letters`` letters."""
+    n = 0
+    while letters > 0 and n < len(tokens):
+        letters -= len(tokens[n])
+        n += 1
+    return n
+
+
+def is_copy(prompt: list[str], response: list[str], label: int = 6, contained: float = 0.8, aligned: float = 0.97) -> bool:
+    """The prompt again, wherever it is divided, behind a label of at most ``label`` tokens.
+
+    Candidates hold ``contained`` of the prompt's letter shingles. They are copies if a common subsequence matches
+    ``aligned`` of the prompt's letters within the end of the response that is as long (and that share longer), so that
+    all that doesn't match but a few letters stands in front, where only the label may be.
+    """
     flat, whole = "".join(prompt), "".join(response)
-    if whole.endswith(flat) and len(whole) - len(flat) <= 8 * extra:
-        return True
-    if not len(prompt) <= len(response) <= len(prompt) + extra:
+    n = len(flat)
+    if not n or len(whole) < aligned * n:
+        return False
+    of = shingles(flat)
+    if len(of & shingles(whole)) < contained * len(of):
         return False
-    of = shingles(prompt)
-    if len(of & shingles(response)) < 0.8 * len(of):
+    front = len(whole) - n
+    if lead_tokens(response, front) > label:
         return False
-    return lcs(prompt, response[len(response) - len(prompt) :]) == len(prompt)
+    return lcs(flat, whole[max(front - int((1 - aligned) * n), 0) :]) >= aligned * n
 
 
-def is_refusal(tokens: list[str]) -> bool:
-    """Some template's tokens are a subsequence of as many tokens of the response plus two."""
-    for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
+def is_refusal(tokens: list[str], prompt: list[str], opening: int = 8, repeated: float = 0.34) -> bool:
+    """A template's tokens are a subsequence of as many tokens plus two that begin among the first ``opening``, and less than
+    ``repeated`` of the response's tokens are the prompt's: who refuses to answer doesn't tell what was asked, as quoted speech does."""
+    for i, pair in enumerate(zip(tokens[: opening + 12], tokens[1 : opening + 13], strict=False)):
         for t in _STARTS.get(pair, ()):
             low = max(i - len(t), 0)
-            window = tokens[low : i + len(t) + 2]
-            if lcs(t, window) == len(t):
-                return True
+            if low <= opening and lcs(t, tokens[low : i + len(t) + 2]) == len(t):
+                own = set(prompt)
+                return sum(x in own for x in tokens) < repeated * len(tokens)
     return False
 
 
@@ -181,7 +199,7 @@ def defect_of(prompt: list[str], answer: list[str] | None, program: bool, model:
     p, r = tokens_of(" ".join(prompt)), tokens_of(whole)
     if is_copy(p, r):
         return "copy", ""
-    if is_refusal(r):
+    if is_refusal(r, p):
         return "refusal", ""
     ending = ""
     if program:
@@ -197,17 +215,19 @@ def defect_of(prompt: list[str], answer: list[str] | None, program: bool, model:
     return None, ending
 
 
-def finished_endings(counts: DataFrame, least_seen: int = 3, rare_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def finished_endings(counts: DataFrame, least_seen: int = 3, rare_share: float = 0.05, least_share: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """``(ending, known)`` and ``(word, backed)`` of the counted endings ``(ending, n)`` of finished parts.
 
-    An ending seen ``least_seen`` times is known. Where the corpus is too small to have seen a last word's endings, that is
+    An ending seen ``least_seen`` times, and in ``least_share`` of what ends with its last word, is known. Where the corpus is too small to have seen a last word's endings, that is
     where endings seen less often make up ``rare_share`` or more of all that finish with the word, the word alone decides.
     """
     some = counts.where(~F.col("ending").isin("", BROKEN))
     word = F.substring_index("ending", " ", -1).alias("word")
     rare = F.sum(F.when(F.col("n") < least_seen, F.col("n")).otherwise(0)) / F.sum("n")
     backed = some.groupBy(word).agg(rare.alias("rare")).where(F.col("rare") >= rare_share).select("word", F.lit(True).alias("backed"))
-    return some.where(F.col("n") >= least_seen).select("ending", F.lit(True).alias("known")), backed
+    totals = some.withColumn("word", word).groupBy("word").agg(F.sum("n").alias("all"))
+    seen = some.withColumn("word", word).join(totals, "word").where((F.col("n") >= least_seen) & (F.col("n") >= least_share * F.col("all")))
+    return seen.select("ending", F.lit(True).alias("known")), backed
 
 
 def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3, margin: float = 0.5) -> DataFrame:
@@ -229,7 +249,9 @@ def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3,
                 defect_of([x for x in p if x is not None], a, level == "event", model, cache, margin)
                 for p, a, level in zip(b["prompt"], b["answer"], b["pair_level"], strict=True)
             ]
-            yield pd.DataFrame({"pair_level": b["pair_level"], "pair_id": b["pair_id"], "defect": [f[0] for f in found], "ending": [f[1] for f in found]})
+            # Pairs without an ending to look up, most of them, each get a key of their own, so that no key is hot in the joins.
+            ending = [f[1] or f"\u0001{i}" for f, i in zip(found, b["pair_id"], strict=True)]
+            yield pd.DataFrame({"pair_level": b["pair_level"], "pair_id": b["pair_id"], "defect": [f[0] for f in found], "ending": ending})
 
     def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,7 +265,7 @@ def defective_pairs(pairs: DataFrame, labelled: DataFrame, least_seen: int = 3,
         .mapInPandas(endings, "ending string, n long")
         .groupBy("ending").agg(F.sum("n").alias("n"))
     )
-    unfinished = (F.col("ending") != "") & F.col("known").isNull() & F.col("backed").isNull() & (F.col("defect").isNull())
+    unfinished = ~F.col("ending").startswith("\u0001") & F.col("known").isNull() & F.col("backed").isNull() & (F.col("defect").isNull())
     finished, backed = finished_endings(counts, least_seen)
     out = judged.withColumn("word", F.substring_index("ending", " ", -1)).join(finished, "ending", "left").join(backed, "word", "left")
     return out.select("pair_level", "pair_id", F.when(unfinished, "truncated").otherwise(F.col("defect")).alias("defect")).where("defect is not null")

@@ -120,6 +120,24 @@ def test_lcs(a, b):
     assert pairs.lcs(a, b) == table[-1][-1]
 
 
+def test_copies_and_refusals_are_aligned():
+    tokens = pairs.tokens_of
+    prompt = tokens("A climber holds a long rope near the old wooden door, then the climber drops it")
+    assert pairs.is_copy(prompt, tokens("Description as given by the annotator: a climber holds a long rope near the old wooden door. Then the climber drops it"))  # a long label
+    assert pairs.is_copy(prompt, tokens("a climber hol ds a long rope near theold wooden door then the climber drops it"))  # other division
+    assert pairs.is_copy(prompt, tokens("a climber holds a long rope near the old wooden door then the climber drops i"))  # nearly all, as the bound says
+    assert not pairs.is_copy(prompt, tokens("climber A holds rope B near the door; climber A drops rope B"))
+    assert not pairs.is_copy(prompt, tokens(" ".join(prompt[:9])))
+    assert not pairs.is_copy(prompt, [*prompt, *tokens("and walks off to the left of the house")])
+    assert not pairs.is_copy(prompt, [*tokens("one two three four five six seven"), *prompt])
+    assert not pairs.is_copy([], tokens("anything")) and not pairs.is_copy(prompt, [])
+    assert pairs.is_refusal(tokens("Sorry, I can't describe the events of this clip"), prompt)
+    assert pairs.is_refusal(tokens("Thanks for the caption, however describing these people would go against my guidelines"), prompt)
+    quoted = tokens("The man says I can't reach the shelf")
+    assert not pairs.is_refusal(quoted, tokens("A man says he can't reach the shelf"))
+    assert not pairs.is_refusal(tokens("climber A " * 30 + "says I can't"), [])
+
+
 def test_defects(spark):
     good = {
         "en": ("A baker holds a kite on the pier, then a baker opens a jar.", ["baker A holds kite B on the pier", "baker A opens jar C"]),
