@@ -1,9 +1,10 @@
 """Mapping of freely typed values to a reference list by a prefix-filter set-similarity join.
 
-A value is normalized in the JVM; what equals a form of an entry (term, alias, inflection) is decided by an equi-join. The
-rest goes through the similarity join on sets of letter pairs: the tokens are ordered by their rarity in the reference
-list, only the rare prefixes are joined, pairs pass the length and the positional filter, and Jaccard is computed exactly.
-The best candidate counts if it also is within a few edits.
+A value is normalized in the JVM and compared with the forms of the entries (term, alias, inflection) by a similarity join on
+sets of letter pairs: the tokens are ordered by their rarity in the reference list, only the rare prefixes are joined, pairs
+pass the length and the positional filter, and Jaccard is computed exactly. Of the candidates within a few edits the one of
+highest Jaccard is kept. The threshold follows from the edits: no pair within them is below it. Words that may stand in
+front of a value without changing what it means are learnt: they stand in front of several entries.
 """
 
 from __future__ import annotations
@@ -12,16 +13,16 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronoscene.storage import materialized
+
 #: Letters of other alphabets and digits that look like Latin letters, and accented letters.
 LOOKALIKES = ("абвеёкмнорстухіїјѕԁɡοαερκτυνıøłđß", "a6beekmhopctyxiijsdgoaepktuvioldb")
 ACCENTS = ("àáâãäåāçćčèéêëēìíîïīñńòóôõöōùúûüūýÿž", "aaaaaaaccceeeeeiiiiinnoooooouuuuuyyz")
-#: Words that may stand before a keyword without changing what it means.
-LEADS = "a an the this that some any one another other second first her his its their my our big small old young new little large shiny same is are was be being still quickly slowly now then".split()
+#: English function words that may stand in front of any keyword; other such words are learnt.
+ARTICLES = "a an the this that some any one her his its their my our is are was be being still".split()
+#: What is written where nothing is meant.
 FILLERS = ("", "none", "null", "nan", "n/a", "na", "unknown", "todo", "tbd", "other", "misc", "thing", "something")
 
-SIMILARITY = 0.25
-
-
 def normalized(value: Column) -> Column:
     """Lower-case words without outer marks, numbering and variables; '' for null and blank."""
     t = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\u200b-\u200f\u2060\ufeff\u00ad\u0300-\u036f]", "")
@@ -32,10 +33,28 @@ def normalized(value: Column) -> Column:
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
-def without_leads(key: Column) -> Column:
-    """The key itself and what is left of it without its first one, two and three lead words."""
-    cut = lambda k: F.regexp_replace(k, rf"^(?:{'|'.join(LEADS)}) (?=.{{3}})", "")
-    return F.array_distinct(F.array(key, cut(key), cut(cut(key)), cut(cut(cut(key)))))
+def suffixes(values: DataFrame, most: int = 3) -> DataFrame:
+    """``(kind, value, cut, first, second, third, key)``: the normalized value without its first ``cut`` words, 0 to ``most``."""
+    words = values.select("kind", "value", F.split(normalized(F.col("value")), " ").alias("w"))
+    rows = words.select("kind", "value", "w", F.explode(F.sequence(F.lit(0), F.least(F.size("w") - 1, F.lit(most)))).alias("cut"))
+    word = lambda i: F.when(F.col("cut") > i, F.get("w", F.lit(i)))
+    return rows.select("kind", "value", "cut", word(0).alias("first"), word(1).alias("second"), word(2).alias("third"), F.array_join(F.slice("w", F.col("cut") + 1, F.size("w")), " ").alias("key"))
+
+
+def lead_words(cut: DataFrame, forms: DataFrame, least_entries: int = 3) -> DataFrame:
+    """``(word)``: what stands in front of forms of at least ``least_entries`` different entries among the distinct values."""
+    known = cut.where("cut = 1").join(forms.select("kind", F.col("form").alias("key"), "term_id"), ["kind", "key"])
+    return known.groupBy(F.col("first").alias("word")).agg(F.count_distinct("term_id").alias("n")).where(F.col("n") >= least_entries).select("word")
+
+
+def meant_keys(values: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(kind, value, key)``: each value whole, and without its leading words as far as these are function words or ``lead_words`` and three letters stay."""
+    cut = suffixes(values)
+    leads = lead_words(cut, forms)
+    for c in ("first", "second", "third"):
+        cut = cut.join(leads.select(F.col("word").alias(c), F.lit(True).alias(f"is_{c}")), c, "left")
+    led = [F.col(c).isNull() | F.col(c).isin(*ARTICLES) | F.col(f"is_{c}").isNotNull() for c in ("first", "second", "third")]
+    return cut.where(led[0] & led[1] & led[2] & ((F.col("cut") == 0) | (F.length("key") >= 3))).select("kind", "value", "key")
 
 
 #: Irregular past forms of English verbs.
@@ -94,8 +113,28 @@ def letter_pairs(text: Column) -> Column:
     return F.transform(pairs, nth)
 
 
+#: Edits allowed up to a length of the form, and beyond.
+EDITS = ((4, 1), (9, 2), (None, 3))
+
+
 def allowed_edits(length: Column) -> Column:
-    return F.when(length <= 4, 1).when(length <= 9, 2).otherwise(3)
+    (short, few), (middle, some), (_, many) = EDITS
+    return F.when(length <= short, few).when(length <= middle, some).otherwise(many)
+
+
+def least_similarity(shortest: int = 2) -> float:
+    """Lowest Jaccard of letter-pair sets that a form of ``shortest`` letters or more has with a text within its allowed edits.
+
+    A form of n letters has n + 1 pairs; an edit takes at most two of them away and brings at most two others.
+    """
+    worst, low = 1.0, shortest
+    for top, edits in EDITS:
+        n = low + 1  # the shortest form that is allowed so many edits
+        worst, low = min(worst, (n - 2 * edits) / (n + 2 * edits)), (top or 0) + 1
+    return worst
+
+
+SIMILARITY = least_similarity()
 
 
 def similarity_join(values: DataFrame, forms: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -133,24 +172,22 @@ def similarity_join(values: DataFrame, forms: DataFrame, threshold: float = SIMI
     both = F.size(F.array_intersect("x", "y"))
     scored = pairs.select("kind", "key", "form", "term_id", "rank", (both / (F.col("m") + F.col("n") - both)).alias("jaccard"), F.levenshtein("key", "form").alias("edits"))
     good = scored.where((F.col("jaccard") >= threshold) & (F.col("edits") <= allowed_edits(F.length("form")) - F.col("rank")))
-    best = F.min(F.struct("edits", (-F.col("jaccard")).alias("far"), "rank", "term_id", "form"))
+    best = F.min(F.struct((-F.col("jaccard")).alias("far"), "edits", "rank", "term_id", "form"))
     return good.groupBy("kind", "key").agg(best.alias("b")).select("kind", "key", "b.term_id", (-F.col("b.far")).alias("jaccard"), "b.edits", "b.form")
 
 
 def map_values(values: DataFrame, vocabulary: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``(kind, value, term_id)`` for each distinct ``(kind, value)``; ``term_id`` -1 if no entry is meant.
 
-    Nulls, blanks and filler words map to -1. An empty reference list maps all to -1. Ties go to fewer edits, higher
-    Jaccard, terms before inflections, and the smaller ``term_id``. Repeated values are mapped once.
+    Nulls, blanks and filler words map to -1. An empty reference list maps all to -1. Ties go to higher Jaccard, fewer edits,
+    terms before inflections, and the smaller ``term_id``. Repeated values are mapped once.
     """
+    forms = materialized(forms_of(vocabulary))
     distinct = values.select("kind", "value").distinct()
-    forms = forms_of(vocabulary)
-    spelled = distinct.select("kind", "value", F.explode(without_leads(normalized(F.col("value")))).alias("key"))
+    spelled = materialized(meant_keys(distinct, forms))
     keys = spelled.select("kind", "key").distinct().where(~F.col("key").isin(*FILLERS))
-    exact = keys.join(forms.select("kind", F.col("form").alias("key"), "term_id"), ["kind", "key"]).select("kind", "key", "term_id", F.lit(0).alias("edits"))
-    rest = keys.join(exact, ["kind", "key"], "left_anti")
-    found = exact.union(similarity_join(rest, forms, threshold).select("kind", "key", "term_id", "edits"))
-    best = spelled.join(found, ["kind", "key"], "left").groupBy("kind", "value").agg(F.min(F.when(F.col("term_id").isNotNull(), F.struct("edits", "term_id"))).alias("m"))
+    found = similarity_join(keys, forms, threshold)
+    best = spelled.join(found, ["kind", "key"], "left").groupBy("kind", "value").agg(F.min(F.when(F.col("term_id").isNotNull(), F.struct((-F.col("jaccard")).alias("far"), "edits", "term_id"))).alias("m"))
     return best.select("kind", "value", F.coalesce("m.term_id", F.lit(-1)).cast("long").alias("term_id"))
 
 

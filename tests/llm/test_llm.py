@@ -58,15 +58,35 @@ def test_similarity_join_finds_all_pairs(spark):
     limit = lambda w: 1 if len(w) <= 4 else 2 if len(w) <= 9 else 3
     expected = {}
     for a in left:
-        good = [b for b in right if jaccard(a, b) >= 0.25 and abs(len(a) - len(b)) <= limit(b) and lev(a, b) <= limit(b)]
+        good = [b for b in right if jaccard(a, b) >= 0.2 and abs(len(a) - len(b)) <= limit(b) and lev(a, b) <= limit(b)]
         if good:
-            expected[a] = min((lev(a, b), -jaccard(a, b)) for b in good)
+            expected[a] = min((-jaccard(a, b), lev(a, b)) for b in good)
     v = spark.createDataFrame([("k", w) for w in left], "kind string, key string")
     f = spark.createDataFrame([("k", w, i, 0) for i, w in enumerate(right)], "kind string, form string, term_id long, rank int")
-    got = {r.key: (r.edits, -r.jaccard) for r in keywords.similarity_join(v, f).collect()}
+    got = {r.key: (-r.jaccard, r.edits) for r in keywords.similarity_join(v, f).collect()}
     assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
 
 
+def test_least_similarity_is_lossless():
+    """No word within the allowed edits of a form has a lower Jaccard than the threshold."""
+    rng = random.Random(8)
+    for n in [2, 3, 4, 5, 6, 9, 10, 12] * 150:
+        form = "".join(rng.choice("abcdefghijkl") for _ in range(n))
+        w = form
+        for _ in range(1 if n <= 4 else 2 if n <= 9 else 3):
+            i = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:i] + "z" + w[i:], w[:i] + w[i + 1 :], w[:i] + "y" + w[i + 1 :]]) or "z"
+        grams = [{(p, [f"^{t}$"[k : k + 2] for k in range(j)].count(p)) for j, p in enumerate(f"^{t}$"[k : k + 2] for k in range(len(t) + 1))} for t in (form, w)]
+        assert len(grams[0] & grams[1]) / len(grams[0] | grams[1]) >= keywords.SIMILARITY - 1e-9, (form, w)
+
+
+def test_leads_are_learnt(spark):
+    rows = [("entity", f"{lead} {t}") for lead in ("rusty", "toy") for t in ("puppy", "policeman", "garden hose")[: 3 if lead == "rusty" else 2]]
+    df = spark.createDataFrame(rows, "kind string, value string")
+    got = {r.value: r.term_id for r in keywords.map_values(df, vocabulary(spark)).collect()}
+    assert [v for v, t in sorted(got.items()) if t == -1] == ["toy policeman", "toy puppy"]
+
+
 def test_elements(spark):
     s = spark.createDataFrame([(1, ["puppy", None, "pupy"], None, []), (2, None, None, None)], "spec_id long, consts array<string>, unary_kws array<string>, binary_kws array<string>")
     rows = keywords.keyword_elements(s, vocabulary(spark)).collect()
