@@ -2,18 +2,21 @@
 
 Each input partition becomes a run: sorted by group and score in the JVM (spilling where needed) and cut to N rows per group,
 so a group of millions of rows leaves at most N per run. The runs are stored by hash bucket of the group (the shuffle), each
-still in order; a bucket's runs are merged by a loser tree that jumps to the next group once N rows of one are out.
+still in order; a bucket's runs are merged by a loser tree that jumps to the next group once N rows of one are out. A bucket
+is cut by hash of the group into slices that lie one after the other, so a task holds one slice at a time, whatever the
+size of its bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from chronoscene.storage import partitions_for
+from chronoscene.storage import materialized, partitions_for
 
 
 class LoserTree:
@@ -105,18 +108,36 @@ def merge_runs(runs: list[list[tuple]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def top_n(df: DataFrame, group: list[str], order: list[str], n: int, buckets: int | None = None) -> DataFrame:
+def slices_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each slice together; slices follow one another and may go over several batches."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        at = [*np.flatnonzero(np.diff(b["slice"].to_numpy())) + 1, len(b)]
+        begin = 0
+        for end in at:
+            part = b.iloc[begin:end]
+            if held and len(part) and held[-1]["slice"].iloc[0] != part["slice"].iloc[0]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            if len(part):
+                held.append(part)
+            begin = end
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def top_n(df: DataFrame, group: list[str], order: list[str], n: int, buckets: int | None = None, slice_rows: int = 100_000) -> DataFrame:
     """The ``n`` first rows of each group by ``order`` (whole numbers, smaller first; negate for largest first).
 
     Columns: ``group`` and ``order`` only. Rows with a null in any of them are left out; rows equal in all of them count
-    once, which also makes the tie rule total. An empty table gives no rows.
+    once, which also makes the tie rule total. An empty table gives no rows. A slice has about ``slice_rows`` rows of runs; a
+    group is never divided, and adds at most ``n`` rows per run.
     """
     columns = [*group, *order]
     spark = df.sparkSession
     buckets = buckets or 2 * partitions_for(spark)
     rows = df.select(*[F.col(c).cast("string") if c in group else F.col(c).cast("long").alias(c) for c in columns]).dropna()
     schema = T.StructType([T.StructField(c, T.StringType() if c in group else T.LongType()) for c in columns])
-    with_run = T.StructType([*schema.fields, T.StructField("run", T.IntegerType())])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail: tuple | None = None  # group, rows taken and last row of the open group
@@ -147,14 +168,16 @@ def top_n(df: DataFrame, group: list[str], order: list[str], n: int, buckets: in
             if len(keep):
                 yield keep
 
-    runs = rows.sortWithinPartitions(*columns).mapInPandas(cut, schema).withColumn("run", F.spark_partition_id())
-    stored = runs.repartition(buckets, *group).sortWithinPartitions("run", *columns)
+    runs = materialized(rows.sortWithinPartitions(*columns).mapInPandas(cut, schema).withColumn("run", F.spark_partition_id()))
+    slices = max(math.ceil(runs.count() / (buckets * slice_rows)), 1)
+    sliced = runs.withColumn("slice", F.pmod(F.xxhash64(*group), F.lit(slices)).cast("int"))
+    stored = sliced.repartition(buckets, *group).sortWithinPartitions("slice", "run", *columns)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        b = pd.concat(parts, ignore_index=True)
+        for b in slices_of(batches):
+            yield merge_slice(b)
+
+    def merge_slice(b: pd.DataFrame) -> pd.DataFrame:
         code = pd.MultiIndex.from_frame(b[group]).factorize()[0] if len(group) > 1 else pd.factorize(b[group[0]])[0]
         # Codes follow the order of the groups, as that of the sorted runs.
         ordered = b[group].assign(code=code).drop_duplicates("code").sort_values(group, key=lambda s: s.str.encode("utf-8"))
@@ -164,10 +187,9 @@ def top_n(df: DataFrame, group: list[str], order: list[str], n: int, buckets: in
         starts = np.flatnonzero(np.diff(b["run"].to_numpy(), prepend=-1))
         ends = [*starts[1:].tolist(), len(b)]
         picked = merge_runs([keys[s:e] for s, e in zip(starts.tolist(), ends, strict=True)], n)
-        if picked:
-            yield b.iloc[[int(starts[r]) + i for r, i in picked]][columns]
+        return b.iloc[[int(starts[r]) + i for r, i in picked]][columns]
 
-    return stored.select(*columns, "run").mapInPandas(merge, schema)
+    return stored.select(*columns, "run", "slice").mapInPandas(merge, schema)
 
 
 def boxes(frames: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import Row, functions as F
@@ -120,6 +121,20 @@ def test_top_n_with_ties_repeats_nulls_and_hot_group(spark):
     assert topn.top_n(df.limit(0), ["v", "l"], ["s", "f"], 8).count() == 0
 
 
+def test_top_n_holds_one_slice_at_a_time(spark):
+    parts = [pd.DataFrame({"slice": x, "v": x}) for x in ([0, 0], [0, 1, 2], [], [2], [2, 5])]
+    assert [list(s["v"]) for s in topn.slices_of(iter(parts))] == [[0, 0, 0], [1], [2, 2, 2], [5]]
+    rows = [(f"g{i % 40}", i * 7 % 1000) for i in range(2000)] + [("hot", i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, s long").repartition(5)
+    got = {}
+    for r in topn.top_n(df, ["g"], ["s"], 3, buckets=2, slice_rows=20).collect():
+        got.setdefault(r.g, []).append(r.s)
+    want = {}
+    for g, v in set(rows):
+        want.setdefault(g, []).append(v)
+    assert {g: sorted(v) for g, v in got.items()} == {g: sorted(v)[:3] for g, v in want.items()}
+
+
 def test_boxes_skip_incomplete_positions(spark):
     box = lambda *v: Row(x1=v[0], y1=v[1], x2=v[2], y2=v[3])
     rows = [("v", 1, ["a", None, "c"], [1, 2, None, 4], [box(0, 0, 2, 3), box(0, 0, 2, 2), box(0, 0, 1, 1), box(0, 0, 9, 9)]), ("v", 2, None, [1], [box(0, 0, 1, 1)]), ("v", 3, ["a", "a"], [1, 2], [None, box(5, 5, 5, 9)]), ("v", 4, [], [], None)]
