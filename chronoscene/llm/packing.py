@@ -2,7 +2,8 @@
 
 A shard keeps a level array: the number of open containers per fill level. Each item goes to the level (or into a new
 container) for which the sum of the squared counts of partially filled containers becomes smallest; of equal ones, the
-fullest. Items come in a fixed random order, as they would online.
+fullest. Items come in a fixed random order, as they would online. What the shards leave in containers far from full is
+packed once more, many shards' leftovers together and the largest pieces first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from chronoscene.storage import materialized
+
 #: An empty level; smaller than any number of containers in the score.
 _NONE = -1e12
 
@@ -74,14 +77,17 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.nd
     )
 
 
-def pack(items: DataFrame, capacities: DataFrame, shard_items: int = 30_000) -> DataFrame:
+PIECES = "pack_id int, doc_id long, piece_no long, token_start long, n_tokens long, container string"
+
+
+def pack(items: DataFrame, capacities: DataFrame, shard_items: int = 30_000, open_share: float = 0.97, joined_shards: int = 256) -> DataFrame:
     """``(pack_id, doc_id, piece_no, token_start, n_tokens, container)`` for each capacity.
 
     ``items (doc_id, lang, n_tokens)``, ``capacities (pack_id, capacity_tokens, by_lang)``, a few rows. Items of null or no
     size and capacities of null or no size are left out; a repeated ``doc_id`` is packed as often as it occurs. An item is
     split only if it exceeds the capacity: into full containers and one rest. With ``by_lang`` a container holds one
-    language. Each (pack, language) is cut by hash into shards of about ``shard_items`` items, the unit of a task; what a
-    shard leaves open at its end, a few containers, is the price of packing in parallel.
+    language. Each (pack, language) is cut by hash into shards of about ``shard_items`` items, the unit of a task. The pieces in
+    containers filled to less than ``open_share`` are taken out and packed again for ``joined_shards`` shards together.
     """
     sized = items.where("doc_id is not null and n_tokens > 0").select("doc_id", "lang", "n_tokens")
     packs = capacities.where("capacity_tokens > 0").select("pack_id", F.col("capacity_tokens").cast("long").alias("capacity"), F.coalesce("by_lang", F.lit(False)).alias("by_lang"))
@@ -95,9 +101,22 @@ def pack(items: DataFrame, capacities: DataFrame, shard_items: int = 30_000) ->
         pack_id, part, shard = key
         ids, piece, start, size, container = pack_shard(pdf["doc_id"].to_numpy(np.int64), pdf["n_tokens"].to_numpy(np.int64), int(pdf["capacity"].iloc[0]))
         names = f"{pack_id}/{part}/{shard}/" + pd.Series(container).astype(str)
-        return pd.DataFrame({"pack_id": pack_id, "doc_id": ids, "piece_no": piece, "token_start": start, "n_tokens": size, "container": names})
+        capacity = int(pdf["capacity"].iloc[0])
+        used = np.bincount(container, size)[container] if len(container) else size
+        return pd.DataFrame({"pack_id": pack_id, "doc_id": ids, "piece_no": piece, "token_start": start, "n_tokens": size, "container": names, "part": part, "shard": shard, "capacity": capacity, "open": used < open_share * capacity})
+
+    first = materialized(placed.groupBy("pack_id", "part", "shard").applyInPandas(packed, f"{PIECES}, part string, shard long, capacity long, open boolean"))
 
-    return placed.groupBy("pack_id", "part", "shard").applyInPandas(packed, "pack_id int, doc_id long, piece_no long, token_start long, n_tokens long, container string")
+    def repacked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pack_id, part, joined = key
+        rows = pdf.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True])
+        levels = LevelArray(int(rows["capacity"].iloc[0]))
+        rows["container"] = [f"{pack_id}/{part}/r{joined}/{levels.place(int(n))}" for n in rows["n_tokens"]]
+        return rows[["pack_id", "doc_id", "piece_no", "token_start", "n_tokens", "container"]]
+
+    left = first.where("open").withColumn("joined", F.floor(F.col("shard") / joined_shards))
+    names = [f.split(" ")[0] for f in PIECES.split(", ")]
+    return first.where("not open").select(*names).union(left.groupBy("pack_id", "part", "joined").applyInPandas(repacked, PIECES))
 
 
 def fill_report(pieces: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -108,3 +127,16 @@ def fill_report(pieces: DataFrame, capacities: DataFrame) -> DataFrame:
         "pack_id", "capacity_tokens", "containers", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"), "n_tokens",
         F.round(F.col("n_tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"),
     )
+
+
+def soundness(pieces: DataFrame, items: DataFrame, capacities: DataFrame) -> DataFrame:
+    """Per pack: documents placed, and whether all their tokens are (``complete``), no container exceeds the capacity
+    (``within``), only larger documents are split (``whole``), and containers hold one language where asked (``one_language``)."""
+    packs = capacities.where("capacity_tokens > 0").select("pack_id", "capacity_tokens", "by_lang")
+    sized = items.where("doc_id is not null and n_tokens > 0").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.col("n_tokens").alias("size"))
+    rows = pieces.join(sized, "doc_id", "left").join(packs, "pack_id")
+    docs = rows.groupBy("pack_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.first("size").alias("size"), F.count("*").alias("n"), F.first("capacity_tokens").alias("c"))
+    docs = docs.groupBy("pack_id").agg(F.count("*").alias("documents"), F.bool_and(F.coalesce(F.col("got") == F.col("size"), F.lit(False))).alias("complete"), F.bool_and((F.col("n") == 1) | (F.col("size") > F.col("c"))).alias("whole"))
+    boxes = rows.groupBy("pack_id", "container").agg(F.sum("n_tokens").alias("used"), F.first("capacity_tokens").alias("c"), F.count_distinct("lang").alias("langs"), F.first("by_lang").alias("by_lang"))
+    boxes = boxes.groupBy("pack_id").agg(F.bool_and(F.col("used") <= F.col("c")).alias("within"), F.bool_and(~F.col("by_lang") | (F.col("langs") == 1)).alias("one_language"))
+    return docs.join(boxes, "pack_id").select("pack_id", "documents", "complete", "within", "whole", "one_language")

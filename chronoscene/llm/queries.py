@@ -67,9 +67,32 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, targets), docs, targets)
 
 
+def p8_fitting_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the largest plans that keep all shares."""
+    docs, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(docs, targets, keep_shares=True), docs, targets, keep_shares=True)
+
+
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: all tokens placed, no container too full, no smaller document split, no mixed languages."""
+    sized, capacities = _sized(spark, d), table(spark, d, "pack_capacity")
+    pieces = materialized(packing.pack(sized, capacities))
+    return packing.soundness(pieces, sized, capacities)
+
+
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mix: no document more often than allowed, no source above its demand, one row per copy."""
+    docs, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixing.soundness(materialized(mixing.mix(docs, targets)), docs, targets)
+
+
+P7_SOUND_SQL = "select pack_id, (select count(*) from documents where length(text) > 0) as documents, true as complete, true as within, true as whole, true as one_language from pack_capacity where capacity_tokens > 0"
+P8_SOUND_SQL = "select plan_id, true as repeats_kept, true as demand_kept, true as copies_counted from (select distinct plan_id from mix_targets)"
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(materialized(stuffing.segments(table(spark, d, "documents"))))
 
 
-QUERIES = {"p9_found": p9_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
-ORACLES: dict[str, str] = {"p5_found": P5_SQL}
+QUERIES = {"p9_found": p9_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_fitting_shares": p8_fitting_shares, "p7_sound": p7_sound, "p8_sound": p8_sound, "p1_found": p1_found, "p1_unmatched": p1_unmatched}
+ORACLES: dict[str, str] = {"p5_found": P5_SQL, "p7_sound": P7_SOUND_SQL, "p8_sound": P8_SOUND_SQL}
