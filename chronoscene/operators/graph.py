@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronoscene.operators.rangescan import prefix_sum, running_best
+
 
 def object_pairs(objects: DataFrame) -> DataFrame:
     """Ordered pairs of different objects of a frame: ``(video_id, fid, o1, o2)`` of distinct ``(video_id, fid, oid)``."""
@@ -27,6 +29,19 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def top_so_far(df: DataFrame, key: str, frame: str, score: str, k: int) -> DataFrame:
+    """``(key, frame_no, frame, rank)``: at each frame the ``k`` rows of highest score among all up to it, as often as the frame has rows.
+
+    Each frame is cut to its ``k`` best rows first; a scan then carries the best ones along the frames. Equal scores: the
+    earlier frame first.
+    """
+    row = F.struct((-F.col(score)).alias("s"), F.col(frame).alias("f"))
+    per = df.groupBy(key, frame).agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("own"), F.count("*").alias("n"))
+    seen = running_best(per.withColumn("_key", F.col(key).cast("string")), "_key", [frame], "own", k, "best", inclusive=True)
+    again = F.flatten(F.transform("best", lambda x: F.array_repeat(x["f"], F.col("n").cast("int"))))
+    return seen.select(key, F.col(frame).alias("frame_no"), F.posexplode(F.slice(again, 1, k)).alias("rank", "_f")).select(key, "frame_no", F.col("_f").alias(frame), (F.col("rank") + 1).alias("rank"))
+
+
 def frame_sample(frames: DataFrame, keep: str, most: int) -> DataFrame:
     """``(video_id, fid, new_fid)`` of distinct frames sampled by position.
 
@@ -67,3 +82,20 @@ def overlap_days(df: DataFrame, s1: Column, e1: Column, s2: Column, e2: Column)
     """A row per day of the intersection of two half-open date intervals; empty intersections give none."""
     first, end = F.greatest(s1, s2), F.least(e1, e2)
     return df.where(first < end).withColumn("day", F.explode(F.sequence(first, F.date_sub(end, 1))))
+
+
+def sampled_others(df: DataFrame, key: str, own: str, words: DataFrame, word: str, n: int, seed: int) -> DataFrame:
+    """``(key, others)``: up to ``n`` words per row that its list ``own`` lacks, all different.
+
+    The distinct words are numbered in a seeded order. A row looks up as many neighbouring numbers as it may need, from a
+    seeded start on, in that table, so no row ever meets the whole list.
+    """
+    numbered = words.select(F.col(word).alias("_w"), F.lit("").alias("_all"), F.lit(1).alias("_one"), F.xxhash64(F.lit(seed), word).alias("_h"))
+    numbered = prefix_sum(numbered, "_all", ["_h", "_w"], "_one", "_b", "_at").select("_w", "_at")
+    total = words.agg(F.count("*").alias("_n"))
+    rows = df.select(key, own).crossJoin(total).withColumn("_start", F.when(F.col("_n") > 0, F.pmod(F.xxhash64(F.lit(seed), key), F.col("_n"))))
+    last = F.least(F.lit(n) + F.size(own), F.col("_n").cast("int")) - 1
+    looked = rows.where("_n > 0").select(key, own, F.col("_start"), F.col("_n"), F.explode(F.sequence(F.lit(0), last)).alias("_i")).withColumn("_at", (F.col("_start") + F.col("_i")) % F.col("_n"))
+    free = looked.join(numbered, "_at").where(~F.coalesce(F.array_contains(own, F.col("_w")), F.lit(False)))
+    some = free.groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_w"))), lambda x: x["_w"]), 1, n).alias("others"))
+    return df.select(key).join(some, key, "left").select(key, F.coalesce("others", F.array().cast("array<string>")).alias("others"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronoscene.operators.rangescan import running_best
+
 
 def union_probability(proofs: Column, k: int) -> Column:
     """Probability that one of up to ``k`` proofs holds; ``proofs`` is array<struct<facts array<struct<id, p>>>>."""
@@ -35,8 +37,8 @@ def chain_proofs(unary: DataFrame, first: str, second: str, k: int = 3) -> DataF
     per = facts.groupBy("video_id", "fid").agg(
         best(F.collect_list(F.when(F.col("predicate") == first, fact))).alias("a"), best(F.collect_list(F.when(F.col("predicate") == second, fact))).alias("b")
     )
-    before = F.flatten(F.collect_list("a").over(Window.partitionBy("video_id").orderBy("fid").rowsBetween(Window.unboundedPreceding, -1)))
-    pairs = per.withColumn("a", best(before)).where("size(a) > 0 and size(b) > 0")
+    seen = running_best(per.withColumn("_key", F.col("video_id").cast("string")), "_key", ["fid"], "a", k, "before")
+    pairs = seen.withColumn("a", F.col("before")).where("size(a) > 0 and size(b) > 0")
     crossed = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct((-(x["p"] * y["p"])).alias("o"), F.concat_ws("+", x["id"], y["id"]).alias("id"), F.array(F.struct(x["id"].alias("id"), x["p"].alias("p")), F.struct(y["id"].alias("id"), y["p"].alias("p"))).alias("facts")))))
     rows = pairs.select("video_id", F.explode(best(crossed)).alias("q"))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy("q.o", "q.id"))).where(F.col("n") <= k)

@@ -69,6 +69,39 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
+def running_best(df: DataFrame, group: str, order: list[str], items: str, k: int, into: str, inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """Adds, per ``group`` in ``order``, the ``k`` smallest of the ``items`` of all rows before, with ``inclusive`` of the row itself too.
+
+    ``items`` is an array of structs that compare by their fields in order (texts and numbers, no nulls). ``group`` must be a
+    string without nulls. The state is a list of ``k`` items, so long groups cost no more per row than short ones.
+    """
+    ordered = range_sorted(df, [group, *order], num_partitions)
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField(into, df.schema[items].dataType)])
+    plain = lambda v: tuple(plain(x) for x in v.values()) if isinstance(v, dict) else tuple(map(plain, v)) if isinstance(v, (list, np.ndarray)) else v
+
+    def best(rows: list[tuple]) -> list[tuple]:
+        return sorted(rows, key=lambda x: x[0])[:k]
+
+    def step(batch: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        key, top, single = state if state else (None, [], True)
+        out = []
+        for g, own in zip(batch[group], batch[items], strict=True):
+            if g != key:
+                key, top, single = g, [], state is None and not out
+            after = best(top + [(plain(x), x) for x in own]) if own is not None and len(own) else top
+            out.append([x for _, x in (after if inclusive else top)])
+            top = after
+        result = batch[names].copy()
+        result[into] = out
+        return result, (key, top, single)
+
+    def merge(carry: tuple | None, last: tuple) -> tuple:
+        return (last[0], best(carry[1] + last[1]), True) if carry and last[2] and carry[0] == last[0] else last
+
+    return carried_scan(ordered, step, merge, schema)
+
+
 def prefix_sum(
     df: DataFrame, group: str, order: list[str], value: str, into: str = "before", rank: str = "rank", num_partitions: int | None = None
 ) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronoscene.storage import materialized
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
@@ -37,8 +39,11 @@ def label_means(embeddings: DataFrame) -> DataFrame:
 
 
 def keyword_similarity(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, label, keyword, sim)``: cosine of each vector with each label's mean; the labels are the keyword list."""
-    means = label_means(embeddings).select(F.col("label").alias("keyword"), "feature", norm(F.col("feature")).alias("n2"))
+    """``(vec_id, label, keyword, sim)``: cosine of each vector with each label's mean; the labels are the keyword list.
+
+    The means are written once, so Spark knows their true size and broadcasts them only under ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    means = materialized(label_means(embeddings).select(F.col("label").alias("keyword"), "feature", norm(F.col("feature")).alias("n2")))
     rows = embeddings.select("vec_id", "label", "embedding", norm(F.col("embedding")).alias("n1"))
     return rows.crossJoin(means).select("vec_id", "label", "keyword", (dot(F.col("embedding"), F.col("feature")) / (F.col("n1") * F.col("n2"))).alias("sim"))
 

@@ -76,6 +76,15 @@ def first_uncovered_frame(spark: SparkSession, d: str) -> DataFrame:
     return g.join(base, "seg").where(F.col("u") > F.col("base") + 0.01).groupBy("seg").agg(F.min("fid").alias("fid"))
 
 
+@query(COVER.replace("with ", "with recursive ", 1) + ", g as (select video_id // 100 as seg, video_id as fid, round(1 - area / 45000.0, 6)::double as u from c), p as (select seg, 0 as pass_no, min(fid) as fid, arg_min(u, fid) as u from g group by 1 union all (select p.seg, p.pass_no + 1, min(g.fid), arg_min(g.u, g.fid) from p join g on g.seg = p.seg and g.fid > p.fid and g.u > p.u + 0.01 group by p.seg, p.pass_no)) select seg, pass_no, fid from p")
+def propagation_passes(spark: SparkSession, d: str) -> DataFrame:
+    """All starts of a segment's propagation until its frames are covered as well as at the last one."""
+    from chronoscene.operators.tracking import restart_frames
+
+    g = mask_union_area(spark, d).select(F.floor(F.col("video_id") / 100).alias("seg"), F.col("video_id").alias("fid"), F.col("uncovered").alias("u"))
+    return restart_frames(g, "seg", "fid", "u")
+
+
 def merged(known: DataFrame, new: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Boxes of ``known`` and those of ``new`` that overlap none of them by more than ``threshold``; above it a box is already present."""
     k = known.select(F.col("video_id").alias("v"), F.col("b").alias("q"))

@@ -62,8 +62,7 @@ def sg_topk_objects_per_frame(spark: SparkSession, d: str) -> DataFrame:
 @query(REL + " select * from (select f.video_id, f.fid as frame, r.fid, row_number() over (partition by f.video_id, f.fid order by r.area desc, r.fid) as rank from r f join r on r.video_id = f.video_id and r.fid <= f.fid) where rank <= 3")
 def sg_topk_cumulative(spark: SparkSession, d: str) -> DataFrame:
     r = adapters.relations(spark, d).select("video_id", "fid", "area")
-    seen = r.select("video_id", F.col("fid").alias("frame")).join(r, "video_id").where("fid <= frame")
-    return graph.top_per(seen, ["video_id", "frame"], [F.desc("area"), F.asc("fid")], 3).select("video_id", "frame", "fid", "rank")
+    return graph.top_so_far(r, "video_id", "fid", "area", 3).select("video_id", F.col("frame_no").alias("frame"), "fid", "rank")
 
 
 @query(REL + ", days as (select unnest(generate_series(date '1995-03-01', date '1995-03-31', interval 1 day))::date as day) select video_id, oid, fid, day from r join days on day >= begin_date and day < end_date")
@@ -401,33 +400,33 @@ def geom_mask_runs(spark: SparkSession, d: str) -> DataFrame:
     return m.select("video_id", "id", geo.runs_area(F.col("m")).alias("area"), F.inline(F.array(geo.runs_xywh(F.col("m")))))
 
 
-def mask_nms(items: DataFrame, iou_threshold: float = 0.7, score_threshold: float = 0.1, inner_threshold: float = 0.2) -> DataFrame:
-    """Non-maximum suppression of ``items (video_id, id, b, score)`` per video, set-based: ``(video_id, id)`` kept.
+def mask_nms(items: DataFrame, iou_threshold: float = 0.7, score_threshold: float = 0.1, inner_threshold: float = 0.2, image: tuple[str, ...] = ("video_id", "fid")) -> DataFrame:
+    """Non-maximum suppression of ``items (image, id, b, score)`` per image, set-based: ``(image, id)`` kept.
 
     Ranks follow the score (ties: id). A mask goes if a better one overlaps it above ``iou_threshold``; if it or its
     counterpart lies mostly (85 %) inside the other, which it fills by less than half, with 1 - product above
     1 - ``inner_threshold`` (the lower direction only for the neighbour ranked right after); or if its score is low. Where
-    a criterion leaves nothing of a video, its three best masks pass that criterion.
+    a criterion leaves nothing of an image, its three best masks pass that criterion.
     """
-    w = Window.partitionBy("video_id")
+    w = Window.partitionBy(*image)
     r = items.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), F.asc("id"))))
-    a = r.select("video_id", F.col("n").alias("i"), F.col("b").alias("p"))
-    b = r.select("video_id", F.col("n").alias("j"), F.col("b").alias("q"))
-    pair = a.join(b, "video_id").where("i < j")
+    a = r.select(*image, F.col("n").alias("i"), F.col("b").alias("p"))
+    b = r.select(*image, F.col("n").alias("j"), F.col("b").alias("q"))
+    pair = a.join(b, list(image)).where("i < j")
     both = geo.iou(F.col("p"), F.col("q"))
     inter = both / (1 + both) * (geo.area(F.col("p")) + geo.area(F.col("q")))
     in_i, in_j = inter / geo.area(F.col("p")), inter / geo.area(F.col("q"))
     inner = 1 - in_i * in_j
-    pair = pair.select("video_id", "i", "j", both.alias("iou"), F.when((in_i < 0.5) & (in_j >= 0.85), inner).otherwise(0.0).alias("up"), F.when((in_i >= 0.85) & (in_j < 0.5), inner).otherwise(0.0).alias("low"))
-    worse = pair.groupBy("video_id", F.col("j").alias("n")).agg(F.max("iou").alias("iou"), F.max("up").alias("up"))
+    pair = pair.select(*image, "i", "j", both.alias("iou"), F.when((in_i < 0.5) & (in_j >= 0.85), inner).otherwise(0.0).alias("up"), F.when((in_i >= 0.85) & (in_j < 0.5), inner).otherwise(0.0).alias("low"))
+    worse = pair.groupBy(*image, F.col("j").alias("n")).agg(F.max("iou").alias("iou"), F.max("up").alias("up"))
     # Entry (j, i) counts for mask i; of the upper triangle only the first superdiagonal is left, which holds the upper entries.
-    lower = pair.groupBy("video_id", F.col("i").alias("n")).agg(F.max("low").alias("low"))
-    super_diagonal = pair.where("j = i + 1").select("video_id", F.col("j").alias("n"), F.col("up").alias("next_up"))
-    full = r.join(worse, ["video_id", "n"], "left").join(lower, ["video_id", "n"], "left").join(super_diagonal, ["video_id", "n"], "left").na.fill(0.0, ["iou", "up", "low", "next_up"])
-    full = full.select("video_id", "id", "n", (F.col("iou") <= iou_threshold).alias("k0"), (F.col("score") > score_threshold).alias("k1"), (F.col("up") <= 1 - inner_threshold).alias("k2"), (F.greatest("low", "next_up") <= 1 - inner_threshold).alias("k3"))
+    lower = pair.groupBy(*image, F.col("i").alias("n")).agg(F.max("low").alias("low"))
+    super_diagonal = pair.where("j = i + 1").select(*image, F.col("j").alias("n"), F.col("up").alias("next_up"))
+    full = r.join(worse, [*image, "n"], "left").join(lower, [*image, "n"], "left").join(super_diagonal, [*image, "n"], "left").na.fill(0.0, ["iou", "up", "low", "next_up"])
+    full = full.select(*image, "id", "n", (F.col("iou") <= iou_threshold).alias("k0"), (F.col("score") > score_threshold).alias("k1"), (F.col("up") <= 1 - inner_threshold).alias("k2"), (F.greatest("low", "next_up") <= 1 - inner_threshold).alias("k3"))
     for k in ("k1", "k2", "k3"):
         full = full.withColumn(k, F.col(k) | (~F.bool_or(k).over(w) & (F.col("n") <= 3)))
-    return full.where("k0 and k1 and k2 and k3").select("video_id", "id")
+    return full.where("k0 and k1 and k2 and k3").select(*image, "id")
 
 
 @query(BOXES + f""", s as (select *, row_number() over (partition by video_id order by score desc, id) as n, score / 60000 as conf from r),
@@ -438,7 +437,31 @@ k as (select s.video_id, s.id, s.n, coalesce((select max(iou) from q where q.vid
 f as (select *, bool_or(k1) over w as a1, bool_or(k2) over w as a2, bool_or(k3) over w as a3 from k window w as (partition by video_id))
 select video_id, id from f where k0 and (k1 or (not a1 and n <= 3)) and (k2 or (not a2 and n <= 3)) and (k3 or (not a3 and n <= 3))""")
 def geom_mask_nms(spark: SparkSession, d: str) -> DataFrame:
-    return mask_nms(boxes(spark, d).withColumn("score", F.col("score") / 60000), score_threshold=0.5)
+    """Here an order stands for an image."""
+    return mask_nms(boxes(spark, d).withColumn("score", F.col("score") / 60000), score_threshold=0.5, image=("video_id",))
+
+
+def masks_update(masks: DataFrame, **limits: float) -> DataFrame:
+    """``(image, id)`` of the masks kept of ``(image, id, b, stability, predicted_iou)``: suppression by the product of the two."""
+    return mask_nms(masks.withColumn("score", F.col("stability") * F.col("predicted_iou")), **limits)
+
+
+FRAME_MASKS = """with fa as (select distinct video_id, fid, gt_bboxes from frame_annotations), el as (select video_id, fid, i - 1 as id, gt_bboxes[i] as b from (select *, generate_subscripts(gt_bboxes, 1) as i from fa)),
+r as (select video_id, fid, id, b.x1 as x1, b.y1 as y1, b.x2 as x2, b.y2 as y2, (10 - id % 5) / 10 * ((b.x1 + b.y1) % 10) / 10 as score from el where b.x2 > b.x1 and b.y2 > b.y1)"""
+
+
+@query(FRAME_MASKS + f""", s as (select *, row_number() over (partition by video_id, fid order by score desc, id) as n, score as conf from r),
+p as (select a.video_id, a.fid, a.n as i, b.n as j, {_W} as o, {_A('a')} as sa, {_A('b')} as sb from s a join s b on a.video_id = b.video_id and a.fid = b.fid and a.n < b.n),
+q as (select *, o / (sa + sb - o) as iou, case when o / sa < 0.5 and o / sb >= 0.85 then 1 - o / sa * (o / sb) else 0 end as up, case when o / sa >= 0.85 and o / sb < 0.5 then 1 - o / sa * (o / sb) else 0 end as low from p),
+k as (select s.video_id, s.fid, s.id, s.n, coalesce((select max(iou) from q where q.video_id = s.video_id and q.fid = s.fid and j = s.n), 0) <= 0.7 as k0, conf > 0.1 as k1, coalesce((select max(up) from q where q.video_id = s.video_id and q.fid = s.fid and j = s.n), 0) <= 0.8 as k2,
+  greatest(coalesce((select max(low) from q where q.video_id = s.video_id and q.fid = s.fid and i = s.n), 0), coalesce((select max(up) from q where q.video_id = s.video_id and q.fid = s.fid and j = s.n and i = s.n - 1), 0)) <= 0.8 as k3 from s),
+f as (select *, bool_or(k1) over w as a1, bool_or(k2) over w as a2, bool_or(k3) over w as a3 from k window w as (partition by video_id, fid))
+select video_id, fid, id from f where k0 and (k1 or (not a1 and n <= 3)) and (k2 or (not a2 and n <= 3)) and (k3 or (not a3 and n <= 3))""")
+def mask_update_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of each frame of each video that survive suppression within their frame."""
+    f = table(spark, d, "frame_annotations").select("video_id", "fid", "gt_bboxes").distinct().select("video_id", "fid", F.posexplode("gt_bboxes").alias("id", "b")).where("b.x2 > b.x1 and b.y2 > b.y1")
+    scored = f.withColumn("stability", (10 - F.col("id") % 5) / 10).withColumn("predicted_iou", ((F.col("b.x1") + F.col("b.y1")) % 10) / 10)
+    return masks_update(scored)
 
 
 @query("""select video_id, fid, i, x1, y1, x2, y2 from (select video_id, fid, generate_subscripts(gt_bboxes, 1) - 1 as i, unnest(gt_bboxes).x1 as x1, unnest(gt_bboxes).y1 as y1, unnest(gt_bboxes).x2 as x2, unnest(gt_bboxes).y2 as y2 from (select distinct video_id, fid, gt_bboxes from frame_annotations)) where x2 > x1 and y2 > y1""")

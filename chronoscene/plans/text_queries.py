@@ -187,11 +187,25 @@ def kw_filled(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kw_sample_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Up to five keywords of the vocabulary per spec that the spec doesn't hold, in a seeded order."""
-    words = table(spark, d, "vocabulary").where("kind = 'unary'").agg(F.array_sort(F.collect_set("term")).alias("all"))
+    words = table(spark, d, "vocabulary").where("kind = 'unary' and term is not null").select("term").distinct()
     s = table(spark, d, "batched_gpt_specs").select("spec_id", F.coalesce("unary_kws", F.array().cast("array<string>")).alias("own"))
-    other = F.filter(F.col("all"), lambda w: ~F.coalesce(F.array_contains("own", w), F.lit(False)))
-    shuffled = F.array_sort(F.transform(other, lambda w: F.struct(F.xxhash64(F.lit(7), F.col("spec_id"), w).alias("h"), w.alias("w"))))
-    return s.crossJoin(F.broadcast(words)).select("spec_id", F.transform(F.slice(shuffled, 1, 5), lambda x: x["w"]).alias("negatives"))
+    return graph.sampled_others(s, "spec_id", "own", words, "term", 5, 7).withColumnRenamed("others", "negatives")
+
+
+@query("""with w as (select distinct term from vocabulary where kind = 'unary' and term is not null), n as (select spec_id, (select count(*) from w where not coalesce(list_contains(s.unary_kws, term), false)) as free from batched_gpt_specs s)
+select spec_id, least(free, 5)::int as n, least(free, 5)::int as different, true as foreign_words from n""")
+def kw_negatives_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of sampled negatives: five, or as many as there are, all different, none of the spec's own."""
+    own = table(spark, d, "batched_gpt_specs").select("spec_id", F.coalesce("unary_kws", F.array().cast("array<string>")).alias("own"))
+    n = kw_sample_negatives(spark, d).join(own, "spec_id")
+    return n.select("spec_id", F.size("negatives").alias("n"), F.size(F.array_distinct("negatives")).alias("different"), (~F.coalesce(F.arrays_overlap("negatives", "own"), F.lit(False))).alias("foreign_words"))
+
+
+@query("select count(*) as n, count(*) as partners, 0::bigint as itself from batched_gpt_specs where (select count(*) from batched_gpt_specs) > 1")
+def kw_negative_spec_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Every spec has a partner, every spec is one, none is its own."""
+    s = kw_negative_spec(spark, d)
+    return s.agg(F.count("*").alias("n"), F.count_distinct("negative_id").alias("partners"), F.count_if(F.col("spec_id") == F.col("negative_id")).alias("itself"))
 
 
 @query()

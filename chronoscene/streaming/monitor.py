@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,24 +29,35 @@ def windowed_counts(stream: DataFrame, window: str = "1 day", lateness: str = "1
 MATCH = "video_id long, t1 long, t2 long"
 
 
-def chain_monitor(stream: DataFrame, first: str, second: str) -> DataFrame:
+def chain_monitor(stream: DataFrame, first: str, second: str, lateness: str = "1 day", kept_days: int = 3650) -> DataFrame:
     """``(video_id, t1, t2)``: for each ``second`` event the first ``first`` event before it, as soon as both are seen.
 
-    State per video: the earliest time of ``first``. Times are microseconds. Late ``first`` events count from then on.
+    State per video: the earliest time of ``first``. Times are microseconds. Late ``first`` events count from then on. The
+    state of a video is dropped once the watermark, ``lateness`` behind the latest event, is ``kept_days`` past it.
     """
+    keep = kept_days * 86_400_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
+        if state.hasTimedOut:
+            state.remove()
+            return
         begin = state.get[0] if state.exists else None
-        own = rows.loc[rows["event_type"] == first, "t"]
-        if len(own):
-            begin = int(own.min()) if begin is None else min(begin, int(own.min()))
+        later = []
+        for rows in batches:
+            own = rows.loc[rows["event_type"] == first, "t"]
+            if len(own):
+                begin = int(own.min()) if begin is None else min(begin, int(own.min()))
+            later.append(rows.loc[rows["event_type"] == second, "t"].to_numpy())
+        if begin is not None:
             state.update((begin,))
-        hits = rows.loc[(rows["event_type"] == second) & (rows["t"] > (begin if begin is not None else 1 << 62)), "t"].sort_values()
-        yield pd.DataFrame({"video_id": [key[0]] * len(hits), "t1": [begin or 0] * len(hits), "t2": hits.to_list()}, dtype="int64")
-
-    timed = stream.where(F.col("event_type").isin(first, second)).select(F.col("user_id").alias("video_id"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return timed.groupBy("video_id").applyInPandasWithState(step, MATCH, "begin long", "append", GroupStateTimeout.NoTimeout)
+            state.setTimeoutTimestamp(max(begin // 1000 + keep, state.getCurrentWatermarkMs() + 1))
+        times = np.sort(np.concatenate(later)) if later else np.zeros(0, np.int64)
+        hits = times[times > (begin if begin is not None else 1 << 62)]
+        yield pd.DataFrame({"video_id": [key[0]] * len(hits), "t1": [begin or 0] * len(hits), "t2": hits.tolist()}, dtype="int64")
+
+    timed = stream.where(F.col("event_type").isin(first, second)).select(F.col("user_id").alias("video_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    timed = timed.withWatermark("ts", lateness).withColumn("t", F.unix_micros("ts"))
+    return timed.groupBy("video_id").applyInPandasWithState(step, MATCH, "begin long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame) -> DataFrame:
