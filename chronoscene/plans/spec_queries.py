@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronoscene.plans import spec_batch, stsl
-from chronoscene.plans.stsl_queries import PROGRAM5, WINDOWED_SQL, scene
+from chronoscene.plans.stsl_queries import CHAIN2, CHAIN3, FACTS, PROGRAM5, WINDOWED_SQL, scene
 from chronoscene.sources import adapters
 from chronoscene.storage import table
 
@@ -75,8 +75,28 @@ def stsl_windowed_batch(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("spec_id").alias("video_id"), "window_no", "event_no", "t")
 
 
-QUERIES = {"spec_batch_aligned": spec_batch_aligned, "spec_batch_reasons": spec_batch_reasons, "spec_batch_compiled": spec_batch_compiled, "stsl_windowed_batch": stsl_windowed_batch}
+#: An object is clicked while it isn't viewed, later one of the second category is bought.
+NEGATIVE = [stsl.And(stsl.Unary("click", stsl.Var(1)), stsl.NegUnary("view", stsl.Var(1))), stsl.Unary("purchase", stsl.Const(-2))]
+
+
+def _probable(events: list, k: int):  # noqa: ANN202
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from chronoscene.operators.proofs import event_probabilities
+
+        return event_probabilities(scene(spark, d), events, k).select("video_id", "event_no", "t", F.round("prob", 6).alias("prob"))
+
+    return run
+
+
+QUERIES = {"prob_best_chain1": _probable(CHAIN3[:1], 1), "prob_best_chain2": _probable(CHAIN2, 1), "prob_best_chain3": _probable(CHAIN3, 1), "prob_topk_chain2": _probable(CHAIN2, 3), "prob_topk_chain3": _probable(CHAIN3, 3),
+    "prob_topk_negative": _probable(NEGATIVE, 3), "spec_batch_aligned": spec_batch_aligned, "spec_batch_reasons": spec_batch_reasons, "spec_batch_compiled": spec_batch_compiled, "stsl_windowed_batch": stsl_windowed_batch}
+_SEEN = lambda name, p: f"{name} as (select u.video_id, u.oid as v, u.fid as t, u.prob as p from u join mx using (video_id) where predicate = '{p}' and u.fid < mx.m and u.prob > 0)"
 ORACLES = {
+    "prob_best_chain1": f"with {FACTS}, {_SEEN('a', 'click')} select video_id, 1 as event_no, t, round(max(p), 6) as prob from a group by 1, 3",
+    "prob_best_chain2": f"with {FACTS}, {_SEEN('a', 'click')}, {_SEEN('z', 'purchase')}, j as (select a.video_id, a.t as t1, z.t as t2, a.p * z.p as p from a join z on a.video_id = z.video_id and a.t < z.t) "
+    "select video_id, 1 as event_no, t1 as t, round(max(p), 6) as prob from j group by 1, 3 union all select video_id, 2, t2, round(max(p), 6) from j group by 1, 3",
+    "prob_best_chain3": f"with {FACTS}, {_SEEN('a', 'click')}, {_SEEN('m', 'view')}, {_SEEN('z', 'purchase')}, j as (select a.video_id, a.t as t1, m.t as t2, z.t as t3, a.p * m.p * z.p as p from a join m on a.video_id = m.video_id and a.v = m.v and a.t < m.t join z on z.video_id = m.video_id and z.v = m.v and m.t < z.t) "
+    "select video_id, 1 as event_no, t1 as t, round(max(p), 6) as prob from j group by 1, 3 union all select video_id, 2, t2, round(max(p), 6) from j group by 1, 3 union all select video_id, 3, t3, round(max(p), 6) from j group by 1, 3",
     "spec_batch_aligned": SPEC_SQL,
     "spec_batch_reasons": SPEC_SQL.split("ok as")[0].rstrip().rstrip(",")
     + rf""" select case when prog is null or trim(prog) = '' then 'empty' when not regexp_full_match(prog, '{_E}|Until\({_E}, {_E}\)|Until\({_E}, Until\({_E}, {_E}\)\)') then 'unreadable' else '' end as reason, count(*) as n from pr group by 1""",
