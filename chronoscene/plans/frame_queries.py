@@ -126,6 +126,14 @@ def percent_limit(spark: SparkSession, d: str) -> DataFrame:
     return ranked.crossJoin(F.broadcast(n)).where(F.col("rank") < F.floor(F.col("n") * 0.3)).select("video_id")
 
 
+@query(FR + ", nu as (select video_id, fid, row_number() over (partition by video_id order by fid) - 1 as i from fr) select video_id, fid, i - 3 as new_fid from nu where i >= 3 and i < 8")
+def frames_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The frames from the fourth to the eighth of each video, numbered anew."""
+    w = Window.partitionBy("video_id").orderBy("fid")
+    f = _frames(spark, d).select("video_id", "fid").withColumn("i", F.row_number().over(w) - 1)
+    return f.where("i >= 3 and i < 8").select("video_id", "fid", (F.col("i") - 3).alias("new_fid"))
+
+
 def fact_rows(formula: object) -> list[tuple[int, int | None, str, str]]:
     """(id, parent, construct, text) of each node of a formula, numbered in reading order from 1."""
     out: list[tuple[int, int | None, str, str]] = []

@@ -69,6 +69,76 @@ def video_relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return objects, r.select("video_id", F.col("r.subject_tid").alias("o1"), F.col("r.object_tid").alias("o2"), "r.predicate", F.col("r.begin_fid").alias("begin"), F.col("r.end_fid").alias("end"))
 
 
+FRAME_OBJECT = (
+    "struct<class:string,visible:boolean,bbox:array<double>,attention_relationship:array<string>,spatial_relationship:array<string>,contacting_relationship:array<string>,metadata:struct<set:string>>"
+)
+
+
+def frame_objects(spark: SparkSession, path: str, phase: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Objects ``(video_id, fid, pos, category, x1, y1, x2, y2, visible)`` and relations ``(video_id, fid, pos, predicate)`` of a JSON
+    map from ``VIDEO/FRAME.png`` to lists of objects with boxes (x, y, width, height).
+
+    With ``phase`` only frames whose first object belongs to that set. Objects that aren't visible are left out, frames without
+    objects too. Image numbers start at 1, frames at 0.
+    """
+    from chronoscene.functions.text import file_frame, split_frame_key
+
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,array<{FRAME_OBJECT}>>")).alias("key", "objects"))
+    if phase is not None:
+        raw = raw.where(F.get("objects", F.lit(0))["metadata"]["set"] == phase)
+    rows = raw.select(split_frame_key(F.col("key"))["video"].alias("video_id"), file_frame(F.col("key")).alias("fid"), F.posexplode("objects").alias("pos", "o")).where("o.visible")
+    b = lambda i: F.get("o.bbox", F.lit(i))
+    objects = rows.select("video_id", "fid", "pos", F.col("o.class").alias("category"), b(0).alias("x1"), b(1).alias("y1"), (b(0) + b(2)).alias("x2"), (b(1) + b(3)).alias("y2"), F.col("o.visible").alias("visible"))
+    kinds = [F.coalesce(f"o.{k}_relationship", F.array().cast("array<string>")) for k in ("attention", "spatial", "contacting")]
+    return objects, rows.select("video_id", "fid", "pos", F.explode(F.concat(*kinds)).alias("predicate"))
+
+
+PANOPTIC = (
+    "data array<struct<video_id:string,captions:array<struct<description:string,time:string>>,objects:array<struct<object_id:bigint,category:string>>,"
+    "relations:array<array<string>>>>, split map<string,struct<train:array<string>,val:array<string>>>"
+)
+
+
+def panoptic_videos(spark: SparkSession, path: str, phase: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects ``(video_id, oid, category)``, relations ``(video_id, o1, o2, predicate, begin, end)`` and captions ``(video_id, start, end,
+    caption)`` of the videos of a phase ('train' or 'val') in one JSON file.
+
+    A relation is a list of subject, object, predicate and a list of half-open frame ranges; captions hold for ``a-b``.
+    """
+    from chronoscene.functions.text import clean_caption, time_range
+
+    raw = spark.read.schema(PANOPTIC).json(path, multiLine=True)
+    wanted = raw.select(F.explode(F.flatten(F.transform(F.map_values("split"), lambda s: s[phase]))).alias("video_id")).distinct()
+    v = raw.select(F.inline("data")).join(wanted, "video_id", "left_semi")
+    objects = v.select("video_id", F.explode("objects").alias("o")).select("video_id", F.col("o.object_id").alias("oid"), "o.category")
+    r = v.select("video_id", F.explode("relations").alias("r")).select("video_id", *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(("o1", "o2", "predicate", "spans"))])
+    spans = r.select("video_id", F.col("o1").cast("long").alias("o1"), F.col("o2").cast("long").alias("o2"), "predicate", F.explode(F.from_json("spans", "array<array<int>>")).alias("s"))
+    relations = spans.select("video_id", "o1", "o2", "predicate", F.get("s", F.lit(0)).alias("begin"), F.get("s", F.lit(1)).alias("end"))
+    captions = v.select("video_id", F.explode("captions").alias("c")).select("video_id", F.inline(F.array(time_range(F.col("c.time")))), clean_caption(F.col("c.description"), trim=True).alias("caption"))
+    return objects, relations, captions
+
+
+def caption_records(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
+    """``(video_id, video, data_source, caption)`` of a JSON list of caption records, of the given sources only; the last row per video and source."""
+    rows = spark.read.schema("id string, video string, data_source string, caption string").json(path, multiLine=True).withColumnRenamed("id", "video_id")
+    rows = rows.where("video_id is not null").withColumn("_at", F.monotonically_increasing_id())
+    if sources is not None:
+        rows = rows.where(F.col("data_source").isin(*sources))
+    return last_per_key(rows, ["video_id", "data_source"], [F.col("_at")]).drop("_at")
+
+
+def settings(path: str, overrides: dict[str, object] | None = None) -> dict[str, object]:
+    """Settings of a JSON file with those that are given and not None in their place; unknown names are refused."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    given = {k: v for k, v in (overrides or {}).items() if v is not None}
+    if unknown := given.keys() - found.keys():
+        raise KeyError(f"unknown settings {sorted(unknown)}")
+    return {**found, **given}
+
+
 SPEC = (
     "video_id string, unary_kws array<string>, binary_kws array<string>, var_map map<string,string>, tuples array<struct<positive:boolean,predicate:string,args:array<string>>>, prog string,"
     " windowed_prog array<struct<window:struct<start:int,end:int>,prog:string>>, consts array<string>, binary_predicates array<struct<predicate:string,from:string,to:string>>, args array<string>, caption string,"
@@ -86,6 +156,11 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_report(metrics: DataFrame, path: str) -> None:
+    """A small table of metrics as one JSON file; the rows are aggregates, one per metric and group."""
+    metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_missing(df: DataFrame, path: str, key: str) -> None:
     """Appends the rows whose key the table at ``path`` doesn't hold yet."""
     spark = df.sparkSession
