@@ -231,10 +231,13 @@ def metric_precision_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return m.select("k", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query(facts("select video_id, fid, o1, o2, max(predicate) as label from b group by 1, 2, 3, 4"))
+@query("""with fa as (select distinct video_id, fid, gt_labels, gt_instance_ids from frame_annotations), el as (select video_id, fid, i, gt_labels[i] as label, gt_instance_ids[i] as oid from (select *, generate_subscripts(gt_instance_ids, 1) as i from fa))
+select video_id, fid, oid, arg_max(label, i) as label from el where oid is not null and label is not null group by 1, 2, 3""")
 def metric_gt_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    """One label per key: the last one in reading order, here by name."""
-    return adapters.binary_atoms(U(spark, d)).groupBy("video_id", "fid", "o1", "o2").agg(F.max("predicate").alias("label"))
+    """One label per object of a frame: the last one in the order of the annotation."""
+    f = table(spark, d, "frame_annotations").select("video_id", "fid", "gt_labels", "gt_instance_ids").distinct()
+    at = f.select("video_id", "fid", "gt_labels", F.posexplode("gt_instance_ids").alias("i", "oid")).withColumn("label", F.get("gt_labels", F.col("i")))
+    return at.where("oid is not null and label is not null").groupBy("video_id", "fid", "oid").agg(F.max_by("label", "i").alias("label"))
 
 
 @query("""with t as (select coalesce(lang, 'none') as lang, n_chars > 900 as gt, length(coalesce(text, '')) > 900 and source is not null as pred from documents),

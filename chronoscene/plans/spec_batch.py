@@ -107,12 +107,30 @@ def _values(variables: Column, wanted: Column) -> Column:
     return F.transform(wanted, lambda v: _value(variables, v))
 
 
-def fact_table(unary: DataFrame, binary: DataFrame, names: DataFrame, time: DataFrame) -> DataFrame:
-    """``(video_id, predicate, arity, t, o1, o2, n1, n2)`` of facts inside the time domain ``(video_id, t)``, with the names of their objects."""
-    both = unary.select("video_id", "predicate", F.lit(1).alias("arity"), F.col("fid").alias("t"), F.col("oid").alias("o1"), F.lit(None).cast(unary.schema["oid"].dataType).alias("o2")).union(
-        binary.select("video_id", "predicate", F.lit(2), F.col("fid"), "o1", "o2")
-    )
-    inside = both.join(time, ["video_id", "t"], "left_semi").distinct()
+def needed(parsed: DataFrame) -> tuple[dict[int, set[str]], bool]:
+    """Kinds of atoms at each place of the events, and whether constants occur: what the plan must provide for."""
+    atoms = parsed.where("reason is null").select(F.posexplode("atoms").alias("pos", "x"))
+    found = atoms.select("pos", "x.kind", (F.least("x.a", F.coalesce("x.b", "x.a")) < 0).alias("const")).distinct().collect()
+    kinds: dict[int, set[str]] = {}
+    for r in found:
+        kinds.setdefault(r["pos"], set()).add(r["kind"])
+    return kinds, any(r["const"] for r in found)
+
+
+def fact_table(parsed: DataFrame, unary: DataFrame, binary: DataFrame, names: DataFrame, time: DataFrame) -> DataFrame:
+    """``(video_id, predicate, arity, t, o1, o2, n1, n2)`` of the facts that some atom asks for, inside the time domain ``(video_id, t)``.
+
+    ``n1`` and ``n2`` are the names of the objects, null where no atom has a constant. A kind of facts that no atom has isn't read.
+    """
+    kinds, consts = needed(parsed)
+    seen = set().union(*kinds.values())
+    one = unary.select("video_id", "predicate", F.lit(1).alias("arity"), F.col("fid").alias("t"), F.col("oid").alias("o1"), F.lit(None).cast(unary.schema["oid"].dataType).alias("o2"))
+    two = binary.select("video_id", "predicate", F.lit(2).alias("arity"), F.col("fid").alias("t"), "o1", "o2")
+    both = one.union(two) if seen & {"binary", "no_binary"} else one
+    asked = parsed.where("reason is null").select("video_id", F.explode("atoms").alias("x")).select("video_id", F.col("x.predicate").alias("predicate")).distinct()
+    inside = both.join(asked, ["video_id", "predicate"], "left_semi").join(time, ["video_id", "t"], "left_semi").distinct()
+    if not consts:
+        return inside.withColumns({n: F.lit(None).cast("array<string>") for n in ("n1", "n2")})
     named = names.groupBy("video_id", "oid").agg(F.collect_set("name").alias("n"))
     of = lambda i: named.select("video_id", F.col("oid").alias(f"o{i}"), F.col("n").alias(f"n{i}"))
     return inside.join(of(1), ["video_id", "o1"], "left").join(of(2), ["video_id", "o2"], "left")
@@ -139,14 +157,13 @@ def event_rows(parsed: DataFrame, facts: DataFrame, objects: DataFrame, names: D
     """
     at = [*KEY, "event_no"]
     events = parsed.where("reason is null").select(*at, "video_id", "consts", "atoms")
-    found = events.select(F.posexplode(F.col("atoms")["kind"])).distinct().collect()
+    places, _ = needed(parsed)
     empty = F.expr("cast(array() as array<struct<v:int,o:bigint>>)")
     first = events.withColumn("x", F.get("atoms", F.lit(0)))
     acc = _hits(first.where(F.col("x.kind").isin(*POSITIVE)), facts).withColumn("vars", F.col("bind")).drop("bind")
-    if any(r["col"] not in POSITIVE and not r["pos"] for r in found):
+    if places.get(0, set()) - set(POSITIVE):
         acc = acc.unionByName(first.where(~F.col("x.kind").isin(*POSITIVE)).join(time.select("video_id", "t"), "video_id").withColumn("vars", empty))
-    for j in range(max((r["pos"] for r in found), default=-1) + 1):
-        kinds = {r["col"] for r in found if r["pos"] == j}
+    for j, kinds in sorted(places.items()):
         acc = acc.withColumn("x", F.get("atoms", F.lit(j)))
         if j and kinds & set(POSITIVE):
             hits = _hits(events.withColumn("x", F.get("atoms", F.lit(j))).where(F.col("x.kind").isin(*POSITIVE)), facts)
@@ -234,7 +251,7 @@ def evaluate(programs: DataFrame, unary: DataFrame, binary: DataFrame, names: Da
     facts count once; an empty table gives none.
     """
     parsed = materialized(parsed_programs(programs.where("spec_id is not null and window_no is not null and video_id is not null")))
-    facts = fact_table(unary, binary, names, time)
+    facts = materialized(fact_table(parsed, unary, binary, names, time))
     return aligned_batch(parsed, materialized(event_rows(parsed, facts, objects, names, time)))
 
 
