@@ -251,7 +251,9 @@ def evaluate(programs: DataFrame, unary: DataFrame, binary: DataFrame, names: Da
     facts count once; an empty table gives none.
     """
     parsed = materialized(parsed_programs(programs.where("spec_id is not null and window_no is not null and video_id is not null")))
-    facts = materialized(fact_table(parsed, unary, binary, names, time))
+    facts = fact_table(parsed, unary, binary, names, time)
+    if len(needed(parsed)[0]) > 1:  # read once per place of an event
+        facts = materialized(facts)
     return aligned_batch(parsed, materialized(event_rows(parsed, facts, objects, names, time)))
 
 
