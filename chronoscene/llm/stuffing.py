@@ -36,7 +36,7 @@ ALL_FUNCTION = frozenset().union(*FUNCTION.values())
 SEARCH = frozenset(w for v in SEARCH_WORDS.values() for w in v.split())
 _STEMS = "buy|best|cheap|price|discount|free|download|online|review|sale|top10|beginners|nearme|2025|kaufen|preis|beste|günstig|gratis|test|vergleich|angebot|comprar|precio|mejor|barat|oferta|opiniones|descargar|acheter|prix|meilleur|promo|avis|gratuit|enligne|pascher"
 TAG = re.compile(r"#\w{3,}|\[[^\]\n]{2,80}\](?!\()")
-LINK = re.compile(r"<a\s[^>]*>|</a>|\(?(?:https?://|www\.)[^\s)\"'>|]+\)?|\(?\b[\w-]+(?:\.[\w-]+)*\.(?:test|invalid|example|com|net|org|info|biz|shop|io|de|es|fr|co)/[^\s)\"'>|]*\)?")
+LINK = re.compile(r"<a\s[^>]*>|</a>|\(?(?:https?://|www\.)[^\s)\"'>|]+\)?|\(?\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/[^\s)\"'>|]*\)?")
 GLUED = re.compile(_STEMS)
 PRICE = re.compile(r"(?:[€$£]\s?\d|\d[.,]\d\d\s*(?:EUR|USD|€|\$|£)|^\s*\d+[.,]\d\d\s*$|\bRef\.|\bSKU\b|\bArt\.-Nr)", re.M)
 DIGIT = re.compile(r"\d")
