@@ -1,9 +1,10 @@
 """Keyword-stuffed pages, link lists, product and tag lists among honest texts and honest lists.
 
 A text is cut into sentences and into blocks of lines that are none. Each segment is measured: share of its most repeated
-content word, share of repeated word pairs, share of search words, link text, prices and tags, separators, lines the page
-had before, and function words. The limits for missing function words, separators and the three kinds of repetition are
-calibrated per language on the whole corpus. A page is found if more than half of its characters lie in segments beyond them.
+content word and of words that the whole page repeats, repeated word pairs, lines the page had before, link text,
+separators, and function words. The limits of all but the link text are quantiles per language over the whole corpus. A
+page is found if more than half of its characters lie in segments beyond them. There is no list of search words; only the
+forms of the project's own lists are known.
 """
 
 from __future__ import annotations
@@ -24,23 +25,10 @@ FUNCTION_WORDS = {
     "es": "el la los las un una unos unas de del al y o u pero que en con por para sin se es son fue era no ni lo le les su sus mi como más muy ya hasta desde cuando porque si bajo sobre entre detrás junto hay ha han está este esta esto nadie alguien todos cada luego después mientras tanto aunque donde quien cerca dentro delante largo",
     "fr": "le la les l un une des de du d et ou mais que qu qui dans en sur sous par pour avec sans se s est sont était pas ne n il elle on nous vous je j ce c cette ces son sa ses leur au aux plus à y a ont jusqu jusque derrière devant entre près après avant pendant puis ensuite parce car si comme très tout tous toute chaque personne quelqu lorsque quand bien où long chez contre vers",
 }
-#: Words of search phrases and offers per language.
-SEARCH_WORDS = {
-    "en": "buy best cheap price prices discount free download online review reviews sale pro hd top shop store order guide tips faq deal deals offer offers shipping beginners 2025",
-    "de": "kaufen preis preise beste bester bestes günstig gratis test vergleich angebot angebote online rabatt shop bestellen kostenlos download anfänger 2025 ratgeber",
-    "es": "comprar precio precios mejor mejores barato barata oferta ofertas opiniones gratis descargar online descuento pedir 2025 guía",
-    "fr": "acheter prix meilleur meilleure promo promos avis gratuit gratuite télécharger cher ligne soldes boutique commander 2025 guide",
-}
 FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 ALL_FUNCTION = frozenset().union(*FUNCTION.values())
-SEARCH = frozenset(w for v in SEARCH_WORDS.values() for w in v.split())
-_STEMS = "buy|best|cheap|price|discount|free|download|online|review|sale|top10|beginners|nearme|2025|kaufen|preis|beste|günstig|gratis|test|vergleich|angebot|comprar|precio|mejor|barat|oferta|opiniones|descargar|acheter|prix|meilleur|promo|avis|gratuit|enligne|pascher"
-TAG = re.compile(r"#\w{3,}|\[[^\]\n]{2,80}\](?!\()")
 LINK = re.compile(r"<a\s[^>]*>|</a>|\(?(?:https?://|www\.)[^\s)\"'>|]+\)?|\(?\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/[^\s)\"'>|]*\)?")
-GLUED = re.compile(_STEMS)
-PRICE = re.compile(r"(?:[€$£]\s?\d|\d[.,]\d\d\s*(?:EUR|USD|€|\$|£)|^\s*\d+[.,]\d\d\s*$|\bRef\.|\bSKU\b|\bArt\.-Nr)", re.M)
-DIGIT = re.compile(r"\d")
-SEPARATORS = (*"|•/;,·»>*", " - ")
+SEPARATORS = (*"|•/;,·»>*#", " - ")
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 #: Forms of the project's own lists: calls of programs, counted or numbered objects, times.
@@ -48,7 +36,7 @@ HONEST = re.compile(r"\b[\w ]{2,30}\s?\([A-Z](?:,\s?[\w ]+)?\)|\w\s\(\d{1,3}\)(?
 #: Heads of inventories (``objects (14): ...``) and lines of credits (``Camera: baker 5``): whole lists without function words.
 LISTED = re.compile(r"^\W*\w+ \(\d+\):|^\W*[\w ]{2,20}: [\w' -]+ \d+\W*$", re.M)
 
-SEGMENT = "struct<chars:int,words:int,function:int,top:int,pairs:int,search:int,link:int,tags:int,prices:int,separators:int,honest:int,form:boolean,again:int,sentence:boolean>"
+SEGMENT = "struct<chars:int,words:int,function:int,top:int,laced:int,pairs:int,link:int,separators:int,honest:int,form:boolean,again:int,sentence:boolean>"
 
 
 def split_segments(text: str) -> list[tuple[str, bool, int]]:
@@ -80,33 +68,38 @@ def split_segments(text: str) -> list[tuple[str, bool, int]]:
     return out
 
 
-def measure(segment: str, sentence: bool, again: int, function: frozenset[str]) -> tuple:
-    """The values of SEGMENT."""
-    link = tags = 0
-    chars, bare = len(segment), segment
-    if "/" in segment or "www." in segment:
-        bare = LINK.sub(" ", segment)
-        link = chars - len(bare)
-    if "#" in bare or "[" in bare:
-        found = TAG.findall(bare)
-        tags = len(found)
-    words = WORDS.findall(bare.lower())
-    known = set(words)
-    search = sum(map(SEARCH.__contains__, words)) if not SEARCH.isdisjoint(known) else 0
-    if tags:
-        search += sum(len(w) > 9 and GLUED.search(w) is not None for w in words)
-    used = sum(map(function.__contains__, words))
-    top = pairs = 0
-    if len(known) < len(words):
-        counts = Counter(w for w in words if len(w) > 2 and w not in ALL_FUNCTION and w not in SEARCH)
+def measure(segments: list[tuple[str, bool, int]], function: frozenset[str], least_count: int = 3, least_share: float = 0.03) -> list[tuple]:
+    """The values of SEGMENT for the segments of a page.
+
+    ``laced`` counts the words of a segment that the page repeats: content words seen ``least_count`` times and more, which
+    are ``least_share`` of the page's words.
+    """
+    bodies = []
+    page: Counter[str] = Counter()
+    for segment, _, _ in segments:
+        bare = LINK.sub(" ", segment) if "/" in segment or "www." in segment else segment
+        words = WORDS.findall(bare.lower())
+        counts = Counter(words)
+        for w in [w for w in counts if len(w) < 3 or w in ALL_FUNCTION]:
+            del counts[w]
+        page.update(counts)
+        bodies.append((bare, words, counts))
+    least = max(least_count, least_share * sum(len(b[1]) for b in bodies))
+    stuffed = {w for w, n in page.items() if n >= least}
+    out = []
+    for (segment, sentence, again), (bare, words, counts) in zip(segments, bodies, strict=True):
+        chars = len(segment)
         top = max(counts.values(), default=0)
+        pairs = 0
         if top > 1:
             twos = list(zip(words, words[1:], strict=False))
             pairs = len(twos) - len(set(twos))
-    prices = len(PRICE.findall(bare)) if DIGIT.search(bare) else 0
-    honest = sum(len(m) for m in HONEST.findall(bare)) if "(" in bare or ":" in bare or "id " in bare else 0
-    form = not sentence and ":" in bare and LISTED.search(bare) is not None
-    return (chars, len(words), used, top, pairs, search, link, tags, prices, sum(map(bare.count, SEPARATORS)), honest, form, again, sentence)
+        laced = sum(n for w, n in counts.items() if w in stuffed) if stuffed else 0
+        used = sum(map(function.__contains__, words))
+        honest = sum(len(m) for m in HONEST.findall(bare)) if "(" in bare or ":" in bare or "id " in bare else 0
+        form = not sentence and ":" in bare and LISTED.search(bare) is not None
+        out.append((chars, len(words), used, top, laced, pairs, chars - len(bare) if len(bare) < chars else 0, sum(map(bare.count, SEPARATORS)), honest, form, again, sentence))
+    return out
 
 
 def segments(documents: DataFrame) -> DataFrame:
@@ -119,7 +112,7 @@ def segments(documents: DataFrame) -> DataFrame:
             rows, ends = [], [0]
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 function = FUNCTION.get(lang, ALL_FUNCTION)
-                rows += [measure(*s, function) for s in split_segments(text)]
+                rows += measure(split_segments(text), function)
                 ends.append(len(rows))
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             arrays = [pa.array(c, pa.bool_() if k == "boolean" else pa.int32()) for c, k in zip(columns, kinds, strict=True)]
@@ -130,21 +123,36 @@ def segments(documents: DataFrame) -> DataFrame:
     return lean.mapInArrow(run, f"doc_id long, lang string, segments array<{SEGMENT}>")
 
 
-def calibrated(measured: DataFrame) -> DataFrame:
+#: Stands for all languages together.
+ALL = "*"
+
+
+def calibrated(measured: DataFrame, support: int = 1000) -> DataFrame:
     """One row of limits per language, from the sentences and pages of the whole corpus.
 
-    ``low_function``: the function-word share that nine of ten sentences reach; ``few_function``: half of it; ``much_top``: the
-    share of the most repeated content word that one sentence in fifty exceeds, between 0.15 and 0.25; ``much_pairs`` and
+    ``low_function``: the function-word share that nine of ten sentences reach; ``few_function``: half of it; ``much_top`` and
+    ``much_laced``: the shares of the most repeated content word and of words that the page repeats that one sentence in fifty
+    exceeds; ``much_pairs`` and
     ``much_marks``: repeated word pairs and separators per word that one sentence in two hundred and in fifty exceeds;
-    ``much_again``: the share of repeated lines that one page in a hundred exceeds, at most a half.
+    ``much_again``: the share of repeated lines that one page in a hundred exceeds, at most a half. A language's quantiles count
+    by the number of its sentences, those of all languages together as much as ``support`` sentences do, so that a few pages
+    of a rare language don't set the limits for themselves.
     """
-    rows = measured.select("lang", F.inline("segments")).where("sentence and words >= 6")
+    of_each = F.explode(F.array(F.col("lang"), F.lit(ALL))).alias("lang")
+    rows = measured.select(of_each, "segments").select("lang", F.inline("segments")).where("sentence and words >= 6")
     share = lambda c: F.col(c) / F.col("words")
     quantile = lambda c, q: F.percentile_approx(share(c), q, 1000)
-    limits = rows.groupBy("lang").agg(quantile("function", 0.1).alias("f"), quantile("top", 0.98).alias("t"), quantile("pairs", 0.995).alias("much_pairs"), quantile("separators", 0.98).alias("much_marks"))
-    limits = limits.select("lang", F.col("f").alias("low_function"), (F.col("f") / 2).alias("few_function"), F.least(F.greatest("t", F.lit(0.15)), F.lit(0.25)).alias("much_top"), "much_pairs", "much_marks")
-    pages = measured.select("lang", repeated_share(F.col("segments")).alias("a")).groupBy("lang").agg(F.least(F.percentile_approx("a", 0.99, 1000), F.lit(0.5)).alias("much_again"))
-    return pages.join(limits, "lang", "left")
+    limits = rows.groupBy("lang").agg(
+        F.count("*").alias("n"), quantile("function", 0.1).alias("low_function"), quantile("top", 0.98).alias("much_top"), quantile("laced", 0.98).alias("much_laced"),
+        quantile("pairs", 0.995).alias("much_pairs"), quantile("separators", 0.98).alias("much_marks"),
+    )
+    pages = measured.select(of_each, repeated_share(F.col("segments")).alias("a")).groupBy("lang").agg(F.least(F.percentile_approx("a", 0.99, 1000), F.lit(0.5)).alias("much_again"))
+    own = pages.join(limits, "lang", "left")
+    names = ["low_function", "much_top", "much_laced", "much_pairs", "much_marks", "much_again"]
+    corpus = own.where(F.col("lang") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in names])
+    n = F.coalesce("n", F.lit(0))
+    mixed = [((F.coalesce(c, f"all_{c}") * n + F.col(f"all_{c}") * support) / (n + support)).alias(c) for c in names]
+    return own.where(F.col("lang") != ALL).crossJoin(F.broadcast(corpus)).select("lang", *mixed).withColumn("few_function", F.col("low_function") / 2)
 
 
 def _total(segments: Column, field: str) -> Column:
@@ -159,31 +167,21 @@ def repeated_share(segments: Column) -> Column:
 def spam_shares(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``(doc_id, lang, share, n_chars)``: the share of a page's characters in spam segments."""
     limit = lambda name, unknown: F.coalesce(name, F.lit(unknown))
-    few, low, top = limit("few_function", 0.15), limit("low_function", 0.3), limit("much_top", 0.2)
+    few, low, much_top, much_laced = limit("few_function", 0.15), limit("low_function", 0.3), limit("much_top", 0.2), limit("much_laced", 0.25)
     much_pairs, much_marks, much_again = limit("much_pairs", 0.25), limit("much_marks", 0.25), limit("much_again", 0.1)
 
     def spam(s):  # noqa: ANN001, ANN202
         share = lambda c: s[c] / F.greatest(s["words"], F.lit(1))
-        own_list = (s["honest"] >= 0.1 * s["chars"]) & (share("search") < 0.15) & (s["tags"] == 0) & (s["prices"] == 0)
-        own_form = s["form"] & (share("search") < 0.1)
+        own_list = (s["honest"] >= 0.1 * s["chars"]) | s["form"]
         again = (s["again"] >= 0.5 * s["chars"]) & (F.col("page_again") > much_again)
         wordy = s["words"] >= 8
-        bare = wordy & (share("function") < few) & ~own_form
-        paired = wordy & (s["pairs"] >= 3) & (share("pairs") > much_pairs) & ~own_form
-        marked = wordy & (share("separators") > much_marks) & (share("function") < low) & ~own_form
-        stuffed = (
-            ((s["top"] >= 3) & (share("top") >= top))
-            | ((s["search"] >= 2) & (share("search") >= 0.1))
-            | ((s["search"] >= 1) & (s["top"] >= 3) & (s["pairs"] >= 2))
-        )
-        listed = (
-            (share("search") >= 0.12)
-            | (s["link"] >= 0.3 * s["chars"])
-            | (s["tags"] * 3 >= s["words"])
-            | ((s["prices"] >= 2) & (s["prices"] * 25 >= s["words"]))
-            | ((share("top") >= top) & (s["top"] >= 4) & (share("function") <= low))
-        )
-        return ~own_list & (again | bare | paired | marked | F.when(s["sentence"], (s["words"] >= 4) & stuffed).otherwise(listed))
+        bare = wordy & (share("function") < few)
+        paired = wordy & (s["pairs"] >= 3) & (share("pairs") > much_pairs)
+        marked = (s["words"] >= 5) & (share("separators") > much_marks) & (share("function") < low)
+        topped = (s["top"] >= 3) & (share("top") > much_top) & (s["sentence"] | ((s["top"] >= 4) & (share("function") <= low)))
+        laced = wordy & (share("laced") > much_laced) & (share("function") < low)
+        linked = ~s["sentence"] & (s["link"] >= 0.3 * s["chars"])
+        return ~own_list & (again | bare | paired | marked | topped | laced | linked)
 
     rows = measured.join(F.broadcast(limits), "lang", "left").withColumn("page_again", repeated_share(F.col("segments")))
     n_chars = _total(F.col("segments"), "chars")
