@@ -55,10 +55,18 @@ COVER = BOXES + """, rows as (select video_id, y, x1, x2 from (select video_id,
 c as (select video_id, count(*) as area from px group by 1)"""
 
 
-def covered(items: DataFrame) -> DataFrame:
-    """``(video_id, area)``: pixels that the boxes of a key cover together, by rows and spans instead of pixels."""
-    rows = items.select("video_id", F.explode(F.sequence("b.y1", "b.y2")).alias("y"), F.struct(F.col("b.x1").cast("long").alias("a"), F.col("b.x2").cast("long").alias("b")).alias("s")).distinct()
-    per = rows.groupBy("video_id", "y").agg(geo.union_length(F.collect_list("s")).alias("n"))
+def covered(items: DataFrame, height: int = 128) -> DataFrame:
+    """``(video_id, area)``: pixels that the boxes of a key cover together; reversed boxes and those with a null cover none.
+
+    A box stands once in each band of ``height`` rows that it touches, cut to it, so the boxes alone are shuffled and the
+    work for a key grows with their number, not with its square.
+    """
+    b, band = F.col("b"), lambda y: F.floor(y / height).cast("int")
+    valid = items.select("video_id", "b").where((b["x1"] <= b["x2"]) & (b["y1"] <= b["y2"]))
+    split = valid.withColumn("band", F.explode(F.sequence(band(b["y1"]), band(b["y2"]))))
+    top = F.col("band") * height
+    cut = F.struct(b["x1"].alias("x1"), F.greatest(b["y1"], top).alias("y1"), b["x2"].alias("x2"), F.least(b["y2"], top + height - 1).alias("y2"))
+    per = split.select("video_id", "band", cut.alias("b")).repartition("video_id", "band").groupBy("video_id", "band").agg(geo.boxes_length(F.collect_set("b")).alias("n"))
     return per.groupBy("video_id").agg(F.sum("n").alias("area"))
 
 
@@ -72,8 +80,8 @@ def mask_union_area(spark: SparkSession, d: str) -> DataFrame:
 def first_uncovered_frame(spark: SparkSession, d: str) -> DataFrame:
     """Where a propagation pass must start again: the first frame less covered than the segment's first one by over 0.01."""
     g = mask_union_area(spark, d).select(F.floor(F.col("video_id") / 100).alias("seg"), F.col("video_id").alias("fid"), F.col("uncovered").alias("u"))
-    base = g.groupBy("seg").agg(F.min_by("u", "fid").alias("base"))
-    return g.join(base, "seg").where(F.col("u") > F.col("base") + 0.01).groupBy("seg").agg(F.min("fid").alias("fid"))
+    base = F.first("u").over(Window.partitionBy("seg").orderBy("fid"))
+    return g.withColumn("base", base).where(F.col("u") > F.col("base") + 0.01).groupBy("seg").agg(F.min("fid").alias("fid"))
 
 
 @query(COVER.replace("with ", "with recursive ", 1) + ", g as (select video_id // 100 as seg, video_id as fid, round(1 - area / 45000.0, 6)::double as u from c), p as (select seg, 0 as pass_no, min(fid) as fid, arg_min(u, fid) as u from g group by 1 union all (select p.seg, p.pass_no + 1, min(g.fid), arg_min(g.u, g.fid) from p join g on g.seg = p.seg and g.fid > p.fid and g.u > p.u + 0.01 group by p.seg, p.pass_no)) select seg, pass_no, fid from p")

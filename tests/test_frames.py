@@ -1,4 +1,9 @@
-from chronoscene.plans.frame_queries import merged
+import random
+
+import pytest
+
+from chronoscene.plans import frame_queries
+from chronoscene.plans.frame_queries import covered, merged
 
 BOX = "video_id int, id int, b struct<x1:int,y1:int,x2:int,y2:int>"
 
@@ -7,3 +12,64 @@ def test_only_boxes_above_seven_tenths_are_already_present(spark):
     known = spark.createDataFrame([(1, 1, (0, 0, 9, 9))], BOX)
     new = spark.createDataFrame([(1, 3, (3, 0, 12, 9)), (1, 4, (1, 0, 10, 9)), (2, 5, (0, 0, 9, 9)), (1, 6, (50, 50, 59, 59))], BOX)
     assert sorted(map(tuple, merged(known, new).collect())) == [(1, 1), (1, 3), (1, 6), (2, 5)]
+
+
+def shuffled(spark, df):
+    """Result of ``df`` and the rows that its stages wrote for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    written = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None))}
+    before = set(written())
+    rows = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return rows, sum(n for key, n in written().items() if key not in before)
+
+
+def some_boxes(keys, n, rng):
+    return [(k, i, (x := rng.randrange(-300, 300), y := rng.randrange(-300, 300), x + rng.randrange(-2, 60), y + rng.randrange(-2, 200))) for k in keys for i in range(n)]
+
+
+def pixels(rows):
+    out = {}
+    for k, _, (x1, y1, x2, y2) in rows:
+        out.setdefault(k, set()).update((x, y) for x in range(x1, x2 + 1) for y in range(y1, y2 + 1))
+    return {k: len(v) for k, v in out.items() if v}
+
+
+def test_covered_counts_pixels_and_shuffles_boxes_instead_of_rows(spark):
+    rows = some_boxes(range(5), 30, random.Random(1))
+    items = spark.createDataFrame(rows + rows[:7] + [(7, 1, None), (7, 2, (0, None, 3, 3)), (8, 1, (3, 3, 2, 9)), (9, 1, (4, 4, 4, 4))], BOX)
+    got, moved = shuffled(spark, covered(items))
+    assert {r.video_id: r.area for r in got} == pixels(rows) | {9: 1}
+    assert moved < 1000
+
+
+def lines(rng, n):
+    """Line items of segments 0 to 2; see ``graph_queries.boxes``."""
+    return [(k, i, rng.randrange(500), rng.randrange(500), 1.0) for k in range(0, 300, 2) for i in range(n)]
+
+
+def uncovered(rows):
+    boxes = [(k, i, (p % 200, s % 100, p % 200 + 20 + i * 7, s % 100 + 15 + k % 30)) for k, i, p, s, _ in rows]
+    return {k: round(1 - n / 45000.0, 6) for k, n in pixels(boxes).items()}
+
+
+@pytest.fixture
+def items_dir(spark, tmp_path):
+    rows = lines(random.Random(2), 4)
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path), rows
+
+
+def test_first_uncovered_frame_reads_the_coverage_once(spark, items_dir):
+    d, rows = items_dir
+    u = uncovered(rows)
+    want = {}
+    for k in sorted(u):
+        seg = k // 100
+        base = u[min(x for x in u if x // 100 == seg)]
+        if u[k] > base + 0.01:
+            want.setdefault(seg, k)
+    got, moved = shuffled(spark, frame_queries.first_uncovered_frame(spark, d))
+    assert {r.seg: r.fid for r in got} == want
+    assert moved < 4 * len(rows)
