@@ -73,3 +73,10 @@ def test_first_uncovered_frame_reads_the_coverage_once(spark, items_dir):
     got, moved = shuffled(spark, frame_queries.first_uncovered_frame(spark, d))
     assert {r.seg: r.fid for r in got} == want
     assert moved < 4 * len(rows)
+
+
+def test_mask_union_area_shuffles_boxes(spark, items_dir):
+    d, rows = items_dir
+    got, moved = shuffled(spark, frame_queries.mask_union_area(spark, d))
+    assert {r.video_id: r.uncovered for r in got} == uncovered(rows)
+    assert moved < 4 * len(rows)
