@@ -80,3 +80,16 @@ def test_mask_union_area_shuffles_boxes(spark, items_dir):
     got, moved = shuffled(spark, frame_queries.mask_union_area(spark, d))
     assert {r.video_id: r.uncovered for r in got} == uncovered(rows)
     assert moved < 4 * len(rows)
+
+
+def test_propagation_passes_shuffle_boxes(spark, items_dir):
+    d, rows = items_dir
+    u, want, last = uncovered(rows), [], {}
+    for k in sorted(u):
+        seg = k // 100
+        if seg not in last or u[k] > last[seg][1] + 0.01:
+            last[seg] = (last[seg][0] + 1 if seg in last else 0, u[k])
+            want.append((seg, last[seg][0], k))
+    got, moved = shuffled(spark, frame_queries.propagation_passes(spark, d))
+    assert sorted(map(tuple, got)) == want
+    assert moved < 4 * len(rows)
