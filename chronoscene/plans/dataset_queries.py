@@ -71,12 +71,7 @@ def filter_min_area(spark: SparkSession, d: str) -> DataFrame:
 @query(ELEMENTS + ", m as (select video_id, fid, pos, b from el where b.x2 > b.x1 and b.y2 > b.y1) select video_id, fid, list(b.x1 order by pos) as x1, list(b.y2 - 1 order by pos) as y2 from m group by 1, 2")
 def filter_empty_masks(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of the masks of a frame in their order; masks without pixels are left out, frames without others too."""
-    b = F.col("b")
-    runs = F.when((b["x2"] > b["x1"]) & (b["y2"] > b["y1"]), F.transform(F.sequence(b["y1"], F.greatest(b["y2"] - 1, b["y1"])), lambda y: F.struct(y.alias("y"), b["x1"].alias("x"), (b["x2"] - b["x1"]).alias("len"))))
-    m = _elements(spark, d).select("video_id", "fid", "pos", F.coalesce(runs, F.array().cast("array<struct<y:int,x:int,len:int>>")).alias("m"))
-    per = m.groupBy("video_id", "fid").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("l"))
-    per = per.select("video_id", "fid", geo.nonempty_boxes(F.transform("l", lambda s: s["m"])).alias("k")).where("size(k) > 0")
-    return per.select("video_id", "fid", F.col("k.x1").alias("x1"), F.col("k.y2").alias("y2"))
+    return dataset.mask_boxes(table(spark, d, "frame_annotations"))
 
 
 @query(ELEMENTS + " select distinct video_id, fid from el where b is not null and video_id in (select video_id from videos where fps > 0 and n_frames > 0)")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from chronoscene.operators import dataset
 from chronoscene.plans import frame_queries
 from chronoscene.plans.frame_queries import covered, merged
 
@@ -93,3 +94,14 @@ def test_propagation_passes_shuffle_boxes(spark, items_dir):
     got, moved = shuffled(spark, frame_queries.propagation_passes(spark, d))
     assert sorted(map(tuple, got)) == want
     assert moved < 4 * len(rows)
+
+
+def test_mask_boxes_follow_from_corners_and_shuffle_frames(spark):
+    one = lambda *b: (list(map(str, range(len(b)))), list(range(len(b))), list(b))
+    rows = [("v", 0, *one((0, 0, 5, 6), None, (3, 3, 3, 9), (2, 1, 4, 2)))] * 2
+    rows += [("v", 1, *one((1, 5, 9, 5), (9, 0, 1, 7))), ("v", 2, None, None, None), ("v", 3, [], [], []), ("w", 0, *one((7, 0, 8, 1 << 30)))]
+    rows += [("w", 1, ["a"], None, [(1, 1, 3, 3)]), ("w", 1, ["b"], None, [(1, 1, 3, 3), (0, 0, 2, 2)]), ("w", 2, [None], [None], [(None, 1, 3, 3)])]
+    frames = spark.createDataFrame(rows, "video_id string, fid int, gt_labels array<string>, gt_instance_ids array<long>, gt_bboxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    got, moved = shuffled(spark, dataset.mask_boxes(frames))
+    assert {(r.video_id, r.fid): (r.x1, r.y2) for r in got} == {("v", 0): ([0, 2], [5, 1]), ("w", 0): ([7], [(1 << 30) - 1]), ("w", 1): ([1, 1, 0], [2, 2, 1])}
+    assert moved <= len(rows)
