@@ -106,32 +106,6 @@ def union_length(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["total"])
 
 
-def boxes_length(boxes: Column) -> Column:
-    """Number of pixels that boxes array<struct<x1, ...>> with inclusive ends, none of them reversed, cover together.
-
-    All rows of pixels between neighbouring upper or lower edges have the same spans, so one of them is counted for all.
-    The structs must begin with x1: sorted once, they give the spans of every row in order.
-    """
-    long = lambda v: v.cast("long")
-    edges = F.concat(F.transform(boxes, lambda b: long(b["y1"])), F.transform(boxes, lambda b: long(b["y2"]) + 1))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-(1 << 40)).alias("end"))
-
-    def row(ordered: Column, y: Column) -> Column:
-        def step(acc: Column, b: Column) -> Column:
-            more = F.struct((acc["total"] + long(b["x2"]) - F.greatest(long(b["x1"]) - 1, acc["end"])).alias("total"), long(b["x2"]).alias("end"))
-            return F.when((b["y1"] <= y) & (b["y2"] >= y) & (b["x2"] > acc["end"]), more).otherwise(acc)
-
-        return F.aggregate(ordered, start, step, lambda acc: acc["total"])
-
-    def whole(s: Column) -> Column:
-        strips = F.transform(s["ys"], lambda y, i: (F.coalesce(F.get(s["ys"], i + 1), y) - y) * row(s["boxes"], y))
-        return F.aggregate(strips, F.lit(0).cast("long"), lambda acc, n: acc + n)
-
-    # An array of one element, so that both are computed once and not for every edge.
-    once = F.array(F.struct(F.sort_array(boxes).alias("boxes"), F.sort_array(F.array_distinct(edges)).alias("ys")))
-    return F.get(F.transform(once, whole), F.lit(0))
-
-
 def palette_runs(pixels: Column, width: int, most: Column) -> Column:
     """array<struct<id, y, x, len>> of a flat palette image: one run per row and instance id from 1 to ``most``, 0 is background.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chronoscene.functions import geometry as geo
+from chronoscene.operators.coverage import covered
 from chronoscene.plans import stsl
 from chronoscene.plans.graph_queries import _A, _W, BOXES, boxes
 from chronoscene.storage import table
@@ -55,21 +56,6 @@ COVER = BOXES + """, rows as (select video_id, y, x1, x2 from (select video_id,
 c as (select video_id, count(*) as area from px group by 1)"""
 
 
-def covered(items: DataFrame, height: int = 128) -> DataFrame:
-    """``(video_id, area)``: pixels that the boxes of a key cover together; reversed boxes and those with a null cover none.
-
-    A box stands once in each band of ``height`` rows that it touches, cut to it, so the boxes alone are shuffled and the
-    work for a key grows with their number, not with its square.
-    """
-    b, band = F.col("b"), lambda y: F.floor(y / height).cast("int")
-    valid = items.select("video_id", "b").where((b["x1"] <= b["x2"]) & (b["y1"] <= b["y2"]))
-    split = valid.withColumn("band", F.explode(F.sequence(band(b["y1"]), band(b["y2"]))))
-    top = F.col("band") * height
-    cut = F.struct(b["x1"].alias("x1"), F.greatest(b["y1"], top).alias("y1"), b["x2"].alias("x2"), F.least(b["y2"], top + height - 1).alias("y2"))
-    per = split.select("video_id", "band", cut.alias("b")).repartition("video_id", "band").groupBy("video_id", "band").agg(geo.boxes_length(F.collect_set("b")).alias("n"))
-    return per.groupBy("video_id").agg(F.sum("n").alias("area"))
-
-
 @query(COVER + " select video_id, area, round(1 - area / (300.0 * 150), 6)::double as uncovered from c")
 def mask_union_area(spark: SparkSession, d: str) -> DataFrame:
     c = covered(boxes(spark, d))

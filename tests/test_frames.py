@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from chronoscene.operators import dataset
+from chronoscene.operators.coverage import areas, covered_parts, packed, unpacked
 from chronoscene.plans import frame_queries
 from chronoscene.plans.frame_queries import covered, merged
 
@@ -96,6 +98,46 @@ def test_propagation_passes_shuffle_boxes(spark, items_dir):
     assert moved < 4 * len(rows)
 
 
+def many_items(spark, path):
+    rows = lines(random.Random(3), 40)
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    return rows
+
+
+def test_mask_union_area_shuffles_blocks_of_boxes(spark, tmp_path):
+    rows = many_items(spark, tmp_path)
+    got, moved = shuffled(spark, frame_queries.mask_union_area(spark, str(tmp_path)))
+    assert {r.video_id: r.uncovered for r in got} == uncovered(rows)
+    assert moved < len(rows) / 4
+
+
+def test_covered_of_null_keys_far_boxes_and_small_blocks(spark):
+    rng, low, high = random.Random(4), -(1 << 31), (1 << 31) - 1
+    rows = some_boxes([3, -5, None], 60, rng) + some_boxes([1 << 40], 300, rng) * 2
+    far = [(8, 1, (low, -1, high, 2)), (8, 2, (0, 1, high, 1)), (9, 1, (5, low, 5, low + 200)), (9, 2, (5, high - 1, 6, high))]
+    items = spark.createDataFrame(rows + far + [(7, 1, (3, 3, 2, 9)), (None, 1, None)], BOX.replace("video_id int", "video_id long"))
+    want = pixels(rows) | {8: 4 << 32, 9: 201 + 4}
+    for block in (1 << 20, 50):
+        parts = covered_parts(items, block=block).collect()
+        got = {}
+        for r in parts:
+            got[r.video_id] = got.get(r.video_id, 0) + r.n
+        assert got == want
+    assert covered(items.limit(0)).collect() == []
+
+
+def test_blocks_are_restored_and_areas_do_not_depend_on_how_many_boxes_are_looked_at():
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(-(1 << 63), 1 << 63, 500) >> rng.integers(0, 63, 500), rng.integers(0, 2, 500).astype(np.uint8)]
+    columns += [rng.integers(-(1 << 31), 1 << 31, 500).astype(np.int32) for _ in range(4)]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, unpacked(packed(columns)), strict=True))
+    y = rng.integers(0, 100, 500).astype(np.int32)
+    some = [rng.integers(0, 9, 500), columns[1], *[rng.integers(0, 100, 500).astype(np.int32) for _ in range(1)], y, rng.integers(0, 40, 500).astype(np.int32), np.minimum(rng.integers(0, 40, 500), 127 - y).astype(np.int32)]
+    sums = [{(k, n): a for k, n, a in zip(*map(np.ndarray.tolist, areas(some, 128, most)), strict=True)} for most in (1, 100, 1 << 20)]
+    boxes = [((k, n), 0, (a, b, a + w, b + h)) for k, n, a, b, w, h in zip(*map(np.ndarray.tolist, some), strict=True)]
+    assert sums[0] == sums[1] == sums[2] == pixels(boxes)
+
+
 def test_mask_boxes_follow_from_corners_and_shuffle_frames(spark):
     one = lambda *b: (list(map(str, range(len(b)))), list(range(len(b))), list(b))
     rows = [("v", 0, *one((0, 0, 5, 6), None, (3, 3, 3, 9), (2, 1, 4, 2)))] * 2
