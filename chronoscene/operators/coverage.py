@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronoscene.operators.rangescan import runs
 from chronoscene.storage import partitions_for
 
 #: Columns of a block: key, is the key null, and the box with its sides less one instead of its right and lower end.
@@ -174,6 +175,26 @@ def covered_parts(items: DataFrame, height: int = 128, block: int = 1 << 20) ->
     return sent.mapInArrow(measure, f"video_id {kind}, n long")
 
 
+def summed(parts: DataFrame, key: str) -> DataFrame:
+    """``(key, area)`` of parts ``(key, n)``, of which those of a key, which is no null, are neighbours in one partition; keeps the order."""
+    kind = parts.schema[key].dataType.simpleString()
+    like = KINDS[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            k = np.concatenate([keys, batch.column(key).to_numpy().astype(np.int64)])
+            n = np.concatenate([sums, batch.column("n").to_numpy()])
+            if len(k):
+                at = runs(k)
+                k, n = k[at], np.add.reduceat(n, at)
+                yield pa.RecordBatch.from_arrays([pa.array(k[:-1]).cast(like), pa.array(n[:-1])], [key, "area"])
+                keys, sums = k[-1:], n[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(keys).cast(like), pa.array(sums)], [key, "area"])
+
+    return parts.select(key, "n").mapInArrow(run, f"{key} {kind}, area long")
+
+
 def covered(items: DataFrame, height: int = 128) -> DataFrame:
     """``(video_id, area)``: pixels that the boxes of a key cover together; reversed boxes and those with a null cover none."""
     return covered_parts(items, height).groupBy("video_id").agg(F.sum("n").alias("area"))

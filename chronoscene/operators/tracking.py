@@ -182,21 +182,22 @@ class Tracker:
         return out
 
 
-def restart_frames(frames: DataFrame, key: str, frame: str, share: str, rise: float = 0.01) -> DataFrame:
+def restart_frames(frames: DataFrame, key: str, frame: str, share: str, rise: float = 0.01, ordered: bool = False) -> DataFrame:
     """``(key, pass_no, frame)``: where propagation starts, first at the first frame and then, again and again, at the first later
     frame whose uncovered ``share`` exceeds that of the last start by more than ``rise``.
 
     Each start depends on the one before, so a key is one sequence in one task; its rows stream through in order and only
     the last start is held. Rows with a null are left out; of equal frames the one with the smaller share comes first.
+    ``ordered``: the rows of a key stand in one partition already, in that order.
     """
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     lean = frames.select(key, frame, F.col(share).cast("double").alias("_u")).dropna()
-    ordered = lean.repartition(partitions_for(frames.sparkSession), key).sortWithinPartitions(key, frame, "_u")
+    rows = lean if ordered else lean.repartition(partitions_for(frames.sparkSession), key).sortWithinPartitions(key, frame, "_u")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, base, number = None, 0.0, 0
         for b in batches:
-            rows = []
+            starts = []
             for k, f, u in zip(b[key], b[frame], b["_u"], strict=True):
                 if now is None or k != now:
                     now, base, number = k, u, 0
@@ -204,10 +205,10 @@ def restart_frames(frames: DataFrame, key: str, frame: str, share: str, rise: fl
                     base, number = u, number + 1
                 else:
                     continue
-                rows.append((k, number, f))
-            yield pd.DataFrame(rows, columns=[key, "pass_no", frame])
+                starts.append((k, number, f))
+            yield pd.DataFrame(starts, columns=[key, "pass_no", frame])
 
-    return ordered.mapInPandas(run, f"{key} {kinds[key]}, pass_no int, {frame} {kinds[frame]}")
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, pass_no int, {frame} {kinds[frame]}")
 
 
 def track_boxes(frames: DataFrame, threshold: float = 0.5) -> DataFrame:

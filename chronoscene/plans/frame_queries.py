@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chronoscene.functions import geometry as geo
-from chronoscene.operators.coverage import covered
+from chronoscene.operators.coverage import covered, covered_parts, summed
 from chronoscene.plans import stsl
 from chronoscene.plans.graph_queries import _A, _W, BOXES, boxes
-from chronoscene.storage import table
+from chronoscene.storage import partitions_for, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -75,8 +75,11 @@ def propagation_passes(spark: SparkSession, d: str) -> DataFrame:
     """All starts of a segment's propagation until its frames are covered as well as at the last one."""
     from chronoscene.operators.tracking import restart_frames
 
-    g = mask_union_area(spark, d).select(F.floor(F.col("video_id") / 100).alias("seg"), F.col("video_id").alias("fid"), F.col("uncovered").alias("u"))
-    return restart_frames(g, "seg", "fid", "u")
+    # Bands are summed and segments followed in one order of the frames, so what the blocks give is shuffled once.
+    seg = F.floor(F.col("fid") / 100)
+    parts = covered_parts(boxes(spark, d)).where("video_id is not null").withColumnRenamed("video_id", "fid")
+    c = summed(parts.repartition(partitions_for(spark), seg).sortWithinPartitions("fid"), "fid")
+    return restart_frames(c.select(seg.alias("seg"), "fid", F.round(1 - F.col("area") / (300.0 * 150), 6).alias("u")), "seg", "fid", "u", ordered=True)
 
 
 def merged(known: DataFrame, new: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -111,6 +111,19 @@ def test_mask_union_area_shuffles_blocks_of_boxes(spark, tmp_path):
     assert moved < len(rows) / 4
 
 
+def test_propagation_passes_shuffle_blocks_of_boxes_and_frames_once(spark, tmp_path):
+    rows = many_items(spark, tmp_path)
+    u, want, last = uncovered(rows), [], {}
+    for k in sorted(u):
+        seg = k // 100
+        if seg not in last or u[k] > last[seg][1] + 0.01:
+            last[seg] = (last[seg][0] + 1 if seg in last else 0, u[k])
+            want.append((seg, last[seg][0], k))
+    got, moved = shuffled(spark, frame_queries.propagation_passes(spark, str(tmp_path)))
+    assert sorted(map(tuple, got)) == want
+    assert moved < len(rows) / 4
+
+
 def test_covered_of_null_keys_far_boxes_and_small_blocks(spark):
     rng, low, high = random.Random(4), -(1 << 31), (1 << 31) - 1
     rows = some_boxes([3, -5, None], 60, rng) + some_boxes([1 << 40], 300, rng) * 2
