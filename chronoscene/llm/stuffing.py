@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,15 +31,28 @@ ALL_FUNCTION = frozenset().union(*FUNCTION.values())
 LINK = re.compile(r"<a\s[^>]*>|</a>|\(?(?:https?://|www\.)[^\s)\"'>|]+\)?|\(?\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/[^\s)\"'>|]*\)?")
 SEPARATORS = (*"|•/;,·»>*#", " - ")
 WORDS = re.compile(r"[^\W_]+")
-SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
+SENTENCE_END = re.compile(r"[.!?…][\"')\]]*\s+")
 #: Forms of the project's own lists: calls of programs, counted or numbered objects, times.
-HONEST = re.compile(r"\b[\w ]{2,30}\s?\([A-Z](?:,\s?[\w ]+)?\)|\w\s\(\d{1,3}\)(?=[,.;\s]|$)|\bid\s\d+|\b\d?\d:\d\d(?:[.:,]\d+)?|^\W*\w+ \(\d+\):", re.M)
+CALL = r"\b[\w ]{2,30}\s?\([A-Z](?:,\s?[\w ]+)?\)"
+OTHER_HONEST = r"\w\s\(\d{1,3}\)(?=[,.;\s]|$)|\bid\s\d+|\b\d?\d:\d\d(?:[.:,]\d+)?|^\W*\w+ \(\d+\):"
+HONEST, HONEST_BUT_CALLS = re.compile(f"{CALL}|{OTHER_HONEST}", re.M), re.compile(OTHER_HONEST, re.M)
+#: What every link, every call and every other form has; these are cheaper to look for.
+LINK_SIGN, CALL_SIGN, HONEST_SIGN = re.compile(r"<a\s|</a>|https?://|www\.|\.[a-z]{2,}/"), re.compile(r"\([A-Z]"), re.compile(r"\(\d|\bid\s\d|\d:\d\d")
 #: Heads of inventories (``objects (14): ...``) and lines of credits (``Camera: baker 5``): whole lists without function words.
 LISTED = re.compile(r"^\W*\w+ \(\d+\):|^\W*[\w ]{2,20}: [\w' -]+ \d+\W*$", re.M)
 
 SEGMENT = "struct<chars:int,words:int,function:int,top:int,laced:int,pairs:int,link:int,separators:int,honest:int,form:boolean,again:int,sentence:boolean>"
 
 
+def sentences(line: str) -> Iterator[str]:
+    """The line divided behind the signs that end sentences, the space and closing marks between left out."""
+    at = 0
+    for m in SENTENCE_END.finditer(line):
+        yield line[at : m.start() + 1]
+        at = m.end()
+    yield line[at:]
+
+
 def split_segments(text: str) -> list[tuple[str, bool, int]]:
     """(segment, is it a sentence, characters in lines that the text had before): sentences of prose lines; other lines gathered into blocks."""
     out: list[tuple[str, bool, int]] = []
@@ -51,7 +65,7 @@ def split_segments(text: str) -> list[tuple[str, bool, int]]:
         known = len(seen)
         seen.add(line.strip())
         again = len(seen) == known
-        for part in SENTENCE_END.split(line) if ". " in line or "! " in line or "? " in line else (line,):
+        for part in sentences(line) if ". " in line or "! " in line or "? " in line else (line,):
             if not part:
                 continue
             bare = part.rstrip(" \"')]*")
@@ -75,30 +89,36 @@ def measure(segments: list[tuple[str, bool, int]], function: frozenset[str], lea
     are ``least_share`` of the page's words.
     """
     bodies = []
-    page: Counter[str] = Counter()
     for segment, _, _ in segments:
-        bare = LINK.sub(" ", segment) if "/" in segment or "www." in segment else segment
-        words = WORDS.findall(bare.lower())
-        counts = Counter(words)
-        for w in [w for w in counts if len(w) < 3 or w in ALL_FUNCTION]:
-            del counts[w]
-        page.update(counts)
-        bodies.append((bare, words, counts))
-    least = max(least_count, least_share * sum(len(b[1]) for b in bodies))
-    stuffed = {w for w, n in page.items() if n >= least}
+        bare = LINK.sub(" ", segment) if ("/" in segment or "www." in segment) and LINK_SIGN.search(segment) else segment
+        bodies.append((bare, WORDS.findall(bare.lower())))
+    page = {w: n for w, n in Counter(chain.from_iterable([words for _, words in bodies])).items() if len(w) > 2 and w not in ALL_FUNCTION}
+    least = max(least_count, least_share * sum([len(words) for _, words in bodies]))
+    often = {w for w, n in page.items() if n > 1}
+    stuffed = {w for w in often if page[w] >= least} if least > 1 else page.keys()
+    whole = "\n".join([bare for bare, _ in bodies])
+    separators = [c for c in SEPARATORS if c in whole]
     out = []
-    for (segment, sentence, again), (bare, words, counts) in zip(segments, bodies, strict=True):
+    for (segment, sentence, again), (bare, words) in zip(segments, bodies, strict=True):
         chars = len(segment)
-        top = max(counts.values(), default=0)
+        # Only words that the page has twice can be repeated in a segment.
+        known = list(filter(often.__contains__, words))
+        if len(known) > 1 and len(kinds := set(known)) < len(known):
+            top = max(map(known.count, kinds)) if len(kinds) < 20 else max(Counter(known).values())
+        else:
+            top = 1 if known or not page.keys().isdisjoint(words) else 0
         pairs = 0
         if top > 1:
-            twos = list(zip(words, words[1:], strict=False))
-            pairs = len(twos) - len(set(twos))
-        laced = sum(n for w, n in counts.items() if w in stuffed) if stuffed else 0
+            pairs = len(words) - 1 - len(set(zip(words, words[1:], strict=False)))
+        laced = sum(map(stuffed.__contains__, known if least > 1 else words)) if stuffed else 0
         used = sum(map(function.__contains__, words))
-        honest = sum(len(m) for m in HONEST.findall(bare)) if "(" in bare or ":" in bare or "id " in bare else 0
+        honest = 0
+        if "(" in bare or ":" in bare or "id " in bare:
+            calls = "(" in bare and CALL_SIGN.search(bare)
+            if calls or HONEST_SIGN.search(bare):
+                honest = sum(map(len, (HONEST if calls else HONEST_BUT_CALLS).findall(bare)))
         form = not sentence and ":" in bare and LISTED.search(bare) is not None
-        out.append((chars, len(words), used, top, laced, pairs, chars - len(bare) if len(bare) < chars else 0, sum(map(bare.count, SEPARATORS)), honest, form, again, sentence))
+        out.append((chars, len(words), used, top, laced, pairs, chars - len(bare) if len(bare) < chars else 0, sum(map(bare.count, separators)), honest, form, again, sentence))
     return out
 
 

@@ -2,6 +2,8 @@ import glob
 import itertools
 import os
 import random
+import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -354,6 +356,46 @@ def test_stuffing_by_repeated_lines_separators_missing_function_words_and_pairs(
     assert sorted(r.doc_id for r in found) == [100, 101, 102, 103]
 
 
+def plain_measure(segments, function):
+    """The values of ``stuffing.measure`` by their definition, each counted for itself."""
+    bodies = [stuffing.LINK.sub(" ", s) if "/" in s or "www." in s else s for s, _, _ in segments]
+    words = [stuffing.WORDS.findall(b.lower()) for b in bodies]
+    content = [Counter(w for w in ws if len(w) > 2 and w not in stuffing.ALL_FUNCTION) for ws in words]
+    page = sum(content, Counter())
+    stuffed = {w for w, n in page.items() if n >= max(3, 0.03 * sum(map(len, words)))}
+    out = []
+    for (s, sentence, again), b, ws, c in zip(segments, bodies, words, content, strict=True):
+        top, twos = max(c.values(), default=0), list(zip(ws, ws[1:], strict=False))
+        honest = sum(map(len, stuffing.HONEST.findall(b))) if "(" in b or ":" in b or "id " in b else 0
+        form = not sentence and ":" in b and stuffing.LISTED.search(b) is not None
+        out.append((len(s), len(ws), sum(w in function for w in ws), top, sum(n for w, n in c.items() if w in stuffed), len(twos) - len(set(twos)) if top > 1 else 0, max(0, len(s) - len(b)), sum(b.count(x) for x in stuffing.SEPARATORS), honest, form, again, sentence))
+    return out
+
+
+def test_measures_follow_their_definition_and_count_words_once_a_page(monkeypatch):
+    rng, built = random.Random(9), []
+    bits = " ".join(HONEST + SPAM).split(" ") + ["\n", "\n", "a. b", "the", "tent", "tent", "id 7", "(Q, ab c)", "1:23", "</a>", "x.de/", "-", "Über", "straße!", "I", "3,5", "\"Oh!\")", "id\t5:", ".ab/", "<a b>", "www.q", "_", "İ"]
+    texts = HONEST + SPAM + ["", "-", *[" ".join(rng.choices(bits, k=rng.randrange(1, 200))) for _ in range(400)], *[" ".join(rng.choices(["tent", "jar", "the", "a.", "b:\n"], k=60)) for _ in range(40)]]
+    lone = " ".join(f"{a}{b}x goes to {b}{a}y." for a in string.ascii_letters for b in string.ascii_lowercase)
+    count = lambda *a: built.append(1) or Counter(*a)
+    for text in [*texts, lone]:
+        segments = stuffing.split_segments(text)
+        for function in (stuffing.FUNCTION["en"], stuffing.ALL_FUNCTION):
+            assert stuffing.measure(segments, function) == plain_measure(segments, function)
+    monkeypatch.setattr(stuffing, "Counter", count)
+    assert len(stuffing.measure(stuffing.split_segments(lone), stuffing.ALL_FUNCTION)) > 1000
+    assert len(built) == 1
+
+
+def test_sentences_are_divided_behind_their_signs():
+    assert list(stuffing.sentences('He said "Go!") and left.  "Why?" she asked… Then: 3.5 or e.g.? ')) == ['He said "Go!', "and left.", '"Why?', "she asked…", "Then: 3.5 or e.g.?", ""]
+    old = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
+    rng = random.Random(10)
+    for _ in range(2000):
+        line = "".join(rng.choices(". ! ? … \" ' ) ] a b  \t".split(" ") + [" "] * 4, k=rng.randrange(30)))
+        assert list(stuffing.sentences(line)) == old.split(line)
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 
 
