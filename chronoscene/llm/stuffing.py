@@ -169,10 +169,13 @@ def calibrated(measured: DataFrame, support: int = 1000) -> DataFrame:
     pages = measured.select(of_each, repeated_share(F.col("segments")).alias("a")).groupBy("lang").agg(F.least(F.percentile_approx("a", 0.99, 1000), F.lit(0.5)).alias("much_again"))
     own = pages.join(limits, "lang", "left")
     names = ["low_function", "much_top", "much_laced", "much_pairs", "much_marks", "much_again"]
-    corpus = own.where(F.col("lang") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in names])
+    # In one row, from which the corpus and the languages are taken, so that the quantiles are computed once.
+    every = own.agg(F.collect_list(F.struct(*own.columns)).alias("every"))
+    corpus = F.get(F.filter("every", lambda r: r["lang"] == ALL), F.lit(0)).alias("corpus")
+    each = every.select(corpus, F.inline("every")).where(F.col("lang") != ALL)
     n = F.coalesce("n", F.lit(0))
-    mixed = [((F.coalesce(c, f"all_{c}") * n + F.col(f"all_{c}") * support) / (n + support)).alias(c) for c in names]
-    return own.where(F.col("lang") != ALL).crossJoin(F.broadcast(corpus)).select("lang", *mixed).withColumn("few_function", F.col("low_function") / 2)
+    mixed = [((F.coalesce(F.col(c), F.col("corpus")[c]) * n + F.col("corpus")[c] * support) / (n + support)).alias(c) for c in names]
+    return each.select("lang", *mixed).withColumn("few_function", F.col("low_function") / 2)
 
 
 def _total(segments: Column, field: str) -> Column:

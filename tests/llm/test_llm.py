@@ -356,6 +356,14 @@ def test_stuffing_by_repeated_lines_separators_missing_function_words_and_pairs(
     assert sorted(r.doc_id for r in found) == [100, 101, 102, 103]
 
 
+def test_limits_of_languages_and_corpus_come_from_one_pass(spark, tmp_path):
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(HONEST * 3)]
+    stuffing.segments(spark.createDataFrame(rows, "doc_id long, text string, lang string")).write.parquet(f"{tmp_path}/m")
+    limits = stuffing.calibrated(spark.read.parquet(f"{tmp_path}/m"))
+    assert sorted(r.lang for r in limits.collect()) == ["de", "en", "und"]
+    assert limits._jdf.queryExecution().sparkPlan().toString().count("FileScan") <= 2
+
+
 def plain_measure(segments, function):
     """The values of ``stuffing.measure`` by their definition, each counted for itself."""
     bodies = [stuffing.LINK.sub(" ", s) if "/" in s or "www." in s else s for s, _, _ in segments]
